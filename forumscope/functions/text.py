@@ -71,8 +71,8 @@ def syllables(text: Column) -> Column:
 
 def coleman_liau(characters: Column, n_sentences: Column, n_words: Column) -> Column:
     a, b, c = COLEMAN_LIAU
-    letters = F.try_divide(characters * 100.0, n_words)
-    stops = F.try_divide(n_sentences * 100.0, n_words)
+    letters = F.try_divide(characters.cast("double"), n_words) * 100
+    stops = F.try_divide(n_sentences.cast("double"), n_words) * 100
     return F.coalesce(a * letters - b * stops - c, F.lit(NO_TEXT))
 
 

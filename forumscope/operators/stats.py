@@ -36,16 +36,16 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """Rows in each interval ``(lo, hi]``, the first one closed on both sides; empty ones included.
 
     ``edges`` rise. The bin number is arithmetic on the row, so only one partial count for each bin and
-    task is shuffled.
+    task is shuffled. It is never null and never filtered: a filter on it would be pushed into the scan
+    and compute the column again for every edge. Rows outside all bins get 0, which no interval matches.
     """
     bounds = [f"{float(e)!r}D" for e in edges]
     passed = " + ".join(f"CAST(v > {bound} AS INT)" for bound in bounds)
-    number = f"CASE WHEN v = {bounds[0]} THEN 1 WHEN v <= {bounds[-1]} THEN {passed} END"
+    number = f"coalesce(CASE WHEN v = {bounds[0]} THEN 1 WHEN v <= {bounds[-1]} THEN {passed} END, 0)"
     filled = (
         df.select(F.col(column).cast("double").alias("v"))
         .groupBy(F.expr(number).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .where("bin > 0")
     )
     intervals = [
         f"struct({i + 1} AS bin, {lo} AS lo, {hi} AS hi)" for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))

@@ -95,8 +95,14 @@ def delays(c: Community, with_tags: bool = False) -> DataFrame:
     return posts.answer_delay(asked if with_tags else asked.withColumn("_Tags", F.lit(None).cast("string")))
 
 
+def lexicon(c: Community) -> DataFrame:
+    """The word valences, written once as the input table that they stand for."""
+    shared_folder(c.spark)
+    return c.lexicon().checkpoint()
+
+
 def metrics(c: Community, *carry: str) -> DataFrame:
-    return text.question_metrics(c.texts(), c.lexicon(), carry)
+    return text.question_metrics(c.texts(), lexicon(c), carry)
 
 
 def metrics_with_delay(c: Community) -> DataFrame:
@@ -414,7 +420,7 @@ JOBS: dict[str, Query] = {
     "code_share": lambda c: text.code_shares(c.texts()),
     "cosine_post_title": lambda c: text.title_cosines(c.texts(), "post"),
     "cosine_tags_title": lambda c: text.title_cosines(c.texts(), "tags"),
-    "sentiment_lexicon": lambda c: text.sentiment(c.texts(), c.lexicon()),
+    "sentiment_lexicon": lambda c: text.sentiment(c.texts(), lexicon(c)),
     "question_metrics": metrics,
     "question_metrics_delay": metrics_with_delay,
     "metric_ranges": lambda c: stats.column_ranges(metrics_with_delay(c), [*text.METRICS, *DELAYS]),

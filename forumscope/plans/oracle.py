@@ -538,7 +538,7 @@ def _needed(sql: str, found: list[str]) -> list[str]:
 
 def statement(name: str) -> str:
     body = QUERIES[name]
-    views = [f"{view} AS ({VIEWS[view]})" for view in _needed(body, [])]
+    views = [f"{view} AS MATERIALIZED ({VIEWS[view]})" for view in _needed(body, [])]
     return f"WITH {', '.join(views)} {body}" if views else body
 
 

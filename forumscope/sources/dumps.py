@@ -48,3 +48,12 @@ def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> N
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read CSV with a header and a declared schema."""
     return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for heavy work on a table that the scan cuts into few tasks.
+
+    A scan with at least as many tasks as there are cores stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
