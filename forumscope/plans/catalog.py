@@ -62,8 +62,9 @@ SLOW = (
 
 
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+    """Doubles to some places; the finer rounding first takes binary noise off decimal ties."""
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(c, places) for c in doubles}) if doubles else df
+    return df.withColumns({c: F.round(F.round(c, 10), places) for c in doubles}) if doubles else df
 
 
 def tagged(c: Community) -> DataFrame:

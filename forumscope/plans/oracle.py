@@ -44,6 +44,11 @@ DAMPENERS = "('barely','hardly','marginally','partly','scarcely','slightly','som
 NEGATIONS = "('cannot','neither','never','no','nobody','none','nor','not','nothing','nowhere','without')"
 
 
+def _six(expression: str) -> str:
+    """Six places, rounded on the decimal value: binary rounding would send a decimal tie either way."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(28, 10)), 6) AS DOUBLE)"
+
+
 def _tags_of(column: str) -> str:
     return f"list_transform(string_split({column}, '><'), lambda x: replace(replace(x, '>', ''), '<', ''))"
 
@@ -64,7 +69,7 @@ def _delay(asked: str, answered: str) -> str:
     return f"""date_diff('second', {q}, {a}) AS AnswerDurationSeconds,
         date_diff('second', {q}, {a}) / 60.0 AS AnswerDurationMinute,
         date_diff('second', {q}, {a}) / 3600.0 AS AnswerDurationHour,
-        date_diff('day', {q}, {a}) AS AnswerDurationDays"""
+        CAST(date_diff('day', {q}, {a}) AS INT) AS AnswerDurationDays"""
 
 
 def _cosine(left: str, right: str, name: str) -> str:
@@ -83,7 +88,7 @@ def _popularity(*keys: str) -> str:
     by = ", ".join(keys)
     return f"""SELECT {by}, count(*) AS tag_frequency, quantile_cont(_Score, 0.5)::DOUBLE AS med_score,
         quantile_cont(_AnswerCount, 0.5)::DOUBLE AS med_answer_count,
-        round(sum(is_answer) / count(*), 6) AS percent_answer FROM exploded GROUP BY {by}"""
+        {_six('sum(is_answer) / count(*)')} AS percent_answer FROM exploded GROUP BY {by}"""
 
 
 def _user_metric(table: str, expression: str, name: str, kind: int) -> str:
@@ -174,11 +179,11 @@ VIEWS = {
     "response": f"""SELECT Tag, count(*) AS tag_frequency, quantile_cont(_Score, 0.5)::DOUBLE AS med_score,
         quantile_cont(_AnswerCount, 0.5)::DOUBLE AS med_answer_count,
         quantile_cont(AnswerDurationSeconds, 0.5)::DOUBLE AS med_AnswerDurationSeconds,
-        round(quantile_cont(AnswerDurationSeconds / 3600, 0.5), 6) AS med_AnswerDurationHour,
+        {_six('quantile_cont(AnswerDurationSeconds / 3600, 0.5)')} AS med_AnswerDurationHour,
         quantile_cont(AnswerDurationDays, 0.5)::DOUBLE AS med_AnswerDurationDays,
-        round(avg(AnswerDurationSeconds), 6) AS avg_AnswerDurationSeconds,
-        round(avg(AnswerDurationSeconds) / 3600, 6) AS avg_AnswerDurationHour,
-        round(avg(AnswerDurationDays), 6) AS avg_AnswerDurationDays
+        {_six('avg(AnswerDurationSeconds)')} AS avg_AnswerDurationSeconds,
+        {_six('avg(AnswerDurationSeconds) / 3600')} AS avg_AnswerDurationHour,
+        {_six('avg(AnswerDurationDays)')} AS avg_AnswerDurationDays
         FROM (SELECT *, unnest({_tags_of('_Tags')}) AS Tag FROM delays) GROUP BY Tag""",
     "user_badges": """SELECT u._Id, u._Reputation, coalesce(n, 0) AS count_all_badges, coalesce(gold, 0) AS count_gold,
         coalesce(silver, 0) AS count_silver, coalesce(bronze, 0) AS count_bronze FROM so_users u LEFT JOIN (
@@ -254,7 +259,7 @@ VIEWS = {
 
 
 def _select(columns, table: str, keep: str = "_Id") -> str:
-    return f"SELECT {keep}, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns) + f" FROM {table}"
+    return f"SELECT {keep}, " + ", ".join(f"{_six(c)} AS {c}" for c in columns) + f" FROM {table}"
 
 
 def _correlations(columns, table: str) -> str:
@@ -306,7 +311,7 @@ def _trend(first: int, last: int) -> str:
 
 
 def _head(cutoff: float) -> str:
-    return f"""SELECT Tag, tag_frequency, round(rel_frequency, 6) AS rel_frequency, round(cum_frequency, 6) AS cum_frequency
+    return f"""SELECT Tag, tag_frequency, {_six('rel_frequency')} AS rel_frequency, {_six('cum_frequency')} AS cum_frequency
         FROM cumulative WHERE round(cum_frequency, 12) <= {cutoff}"""
 
 
@@ -408,10 +413,10 @@ QUERIES = {
         count(*) FILTER (WHERE _PostTypeId = 1 AND _AcceptedAnswerId IS NULL) AS not_accepted_questions,
         count(*) FILTER (WHERE _PostTypeId = 1 AND coalesce(_AnswerCount, 0) = 0) AS unanswered_questions FROM so_posts""",
     "questions_per_year": "SELECT Year, count(*) AS n_questions FROM base GROUP BY Year",
-    "answer_delay": """SELECT * EXCLUDE (AnswerDurationMinute, AnswerDurationHour),
-        round(AnswerDurationMinute, 6) AS AnswerDurationMinute, round(AnswerDurationHour, 6) AS AnswerDurationHour FROM delays""",
-    "question_at_delay": """SELECT * EXCLUDE (_Tags, AnswerDurationMinute, AnswerDurationHour),
-        round(AnswerDurationMinute, 6) AS AnswerDurationMinute, round(AnswerDurationHour, 6) AS AnswerDurationHour FROM delays
+    "answer_delay": f"""SELECT * EXCLUDE (AnswerDurationMinute, AnswerDurationHour),
+        {_six('AnswerDurationMinute')} AS AnswerDurationMinute, {_six('AnswerDurationHour')} AS AnswerDurationHour FROM delays""",
+    "question_at_delay": f"""SELECT * EXCLUDE (_Tags, AnswerDurationMinute, AnswerDurationHour),
+        {_six('AnswerDurationMinute')} AS AnswerDurationMinute, {_six('AnswerDurationHour')} AS AnswerDurationHour FROM delays
         WHERE AnswerDurationDays = 5 ORDER BY QuestionId LIMIT 1""",
     "tag_text": f"""SELECT _Id, CASE WHEN _Tags IS NOT NULL
         THEN concat(array_to_string({_tags_of('_Tags')}, ' '), ' ') END AS tag_text FROM so_questions""",
@@ -425,9 +430,9 @@ QUERIES = {
     "tags_num_long": """SELECT TagCountPerPost, 'num_question_with_answer' AS outcome,
         num_question_with_answer AS n_questions FROM per_question
         UNION ALL SELECT TagCountPerPost, 'num_without_answer', num_without_answer FROM per_question""",
-    "tag_rel_frequency": "SELECT Tag, tag_frequency, round(rel_frequency, 6) AS rel_frequency FROM cumulative",
-    "tag_cum_frequency": """SELECT Tag, tag_frequency, round(rel_frequency, 6) AS rel_frequency,
-        round(cum_frequency, 6) AS cum_frequency FROM cumulative""",
+    "tag_rel_frequency": f"SELECT Tag, tag_frequency, {_six('rel_frequency')} AS rel_frequency FROM cumulative",
+    "tag_cum_frequency": f"""SELECT Tag, tag_frequency, {_six('rel_frequency')} AS rel_frequency,
+        {_six('cum_frequency')} AS cum_frequency FROM cumulative""",
     "top_tags_80": _head(0.80),
     "top_tags_85": _head(0.85),
     "top_tags_90": _head(0.90),
