@@ -41,7 +41,7 @@ def cleaned_text(posts: DataFrame, keep_code: bool = False) -> DataFrame:
 def text_counts(posts: DataFrame) -> DataFrame:
     """Words, characters, sentences and syllables of the cleaned body."""
     text = F.col("text")
-    return cleaned_text(posts).select(
+    return cleaned_text(posts).withColumn("text", t.plain_spaces(text)).select(
         "_Id",
         t.words(text).alias("words"),
         F.length(text).alias("characters"),
@@ -131,7 +131,7 @@ def question_metrics(posts: DataFrame, lexicon: DataFrame, carry: Sequence[str]
     texts = posts.select(
         "_Id",
         *carry,
-        t.prose(body).alias("text"),
+        t.plain_spaces(t.prose(body)).alias("text"),
         t.prose(F.col("_Title")).alias("title"),
         tag_words(F.coalesce(F.col("_Tags"), F.lit(""))).alias("tags"),
         t.code_characters(body).alias("code"),

@@ -207,7 +207,7 @@ VIEWS = {
         concat(array_to_string({_tags_of('_Tags')}, ' '), ' ') AS tags FROM so_texts""",
     "counts": f"""SELECT _Id, CAST(len(ws) AS INT) AS words, CAST(length(text) AS INT) AS characters,
         CAST(CASE WHEN len(ws) = 0 THEN 0
-          ELSE greatest(len(regexp_extract_all(text, '[.!?]+(?:[\\t-\\r ]|\\z)')), 1) END AS INT) AS sentences,
+          ELSE greatest(len(regexp_extract_all(text, '[.!?]+(?:[{WHITE}]|\\z)')), 1) END AS INT) AS sentences,
         CAST(coalesce(list_sum(ds), 0) + CASE WHEN ds[1] = 0 THEN 1 ELSE 0 END AS INT) AS syllables FROM (
           SELECT *, list_transform(ws, lambda w: len(regexp_extract_all(w, '[aeiouy]+'))
             - CASE WHEN w LIKE '%e' THEN 1 ELSE 0 END + CASE WHEN w LIKE '%le' THEN 1 ELSE 0 END) AS ds

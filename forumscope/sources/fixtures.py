@@ -26,7 +26,7 @@ class Community:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._opened: dict[str, DataFrame] = {}
+        self._opened: dict[str | tuple[str, str], DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """A given table; its files are listed once for each instance."""
@@ -34,11 +34,11 @@ class Community:
             self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._opened[name]
 
-    def documents(self) -> DataFrame:
-        """Documents over all cores: measuring a text costs far more than moving it once."""
-        if "spread" not in self._opened:
-            self._opened["spread"] = spread_small(self.table("documents"), "doc_id")
-        return self._opened["spread"]
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A given table for heavy work, over all cores even where its files make few tasks."""
+        if (name, key) not in self._opened:
+            self._opened[name, key] = spread_small(self.table(name), key)
+        return self._opened[name, key]
 
     def users(self) -> DataFrame:
         return self.table("customer").selectExpr(
@@ -62,7 +62,7 @@ class Community:
 
     def _answer_rows(self) -> DataFrame:
         return (
-            self.table("lineitem")
+            self.spread("lineitem", "l_orderkey")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_partkey").alias("owner"),
@@ -93,7 +93,7 @@ class Community:
         parts = self.table("part").selectExpr("p_partkey AS l_partkey", "p_name", "p_type")
         kinds = "CASE WHEN l_linenumber = 1 THEN lower(p_type) END"
         tags = (
-            self.table("lineitem")
+            self.spread("lineitem", "l_orderkey")
             .join(parts, "l_partkey")
             .selectExpr(
                 "l_orderkey", f"explode(array_compact(array(replace(p_name, ' ', '-'), {kinds}))) AS tag"
@@ -136,7 +136,7 @@ class Community:
         """Questions with title, body and tags from the documents; every third has code."""
         cut = "CAST(floor(n_chars * 3 / 4) AS INT)"
         code = f"concat('<pre><code>', substring(text, {cut} + 1), '</code></pre>')"
-        return self.documents().join(self.table("labels"), "doc_id", "left").selectExpr(
+        return self.spread("documents", "doc_id").join(self.table("labels"), "doc_id", "left").selectExpr(
             "doc_id AS _Id",
             f"{QUESTION} AS _PostTypeId",
             f"CASE WHEN quality = 1 THEN doc_id + {ANSWER_ID_BASE} END AS _AcceptedAnswerId",
@@ -171,7 +171,7 @@ class Community:
     def lexicon(self) -> DataFrame:
         """Word valences around zero from the quality labels of the documents that use a word."""
         used = (
-            self.documents()
+            self.spread("documents", "doc_id")
             .join(self.table("labels"), "doc_id")
             .select("quality", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
         )
