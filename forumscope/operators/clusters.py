@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from forumscope.functions.text import tokens
+from forumscope.session import shared_folder
 
 # A K-means model holds one number for each cluster and term, on the driver and in every task.
 MAX_TERMS = 1 << 20
@@ -43,6 +44,7 @@ def tag_clusters(frequency: DataFrame, k: int = 20, max_iterations: int = 100, s
 
     Fitting different tags weighted by frequency has the same objective as fitting every tag row.
     """
+    shared_folder(frequency.sparkSession)
     stored = frequency.checkpoint()
     idf = {row["term"]: row["idf"] for row in _checked_terms(term_idf(stored))}
     named = stored.withColumn("terms", tokens(F.col("Tag")))
