@@ -20,6 +20,7 @@ RARE_SPACES = "".join(
     map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 VOWEL_RUN = r"[aeiouy]+"
+SILENT_END = r"(?<!l)e(?!\S)"
 
 # Coefficients of the published readability formulas, and the no-text marker.
 COLEMAN_LIAU = (0.0588, 0.296, 15.8)
@@ -64,16 +65,14 @@ def sentences(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Vowel runs, less one for a final ``e``, plus one for a final ``le``, over all words.
+    """Vowel runs, less one for a final ``e`` unless the word ends in ``le``, over all words.
 
     A run cannot cross white space, so counting over the whole text equals the sum over its words.
     The running total is floored at one after the first word only: no word lowers it.
     """
 
     def balance(part: Column) -> Column:
-        final_e = count_matches(part, r"e(?:\s|\z)")
-        final_le = count_matches(part, r"le(?:\s|\z)")
-        return count_matches(part, VOWEL_RUN) - final_e + final_le
+        return count_matches(part, VOWEL_RUN) - count_matches(part, SILENT_END)
 
     first_word = F.regexp_extract(text, WORD, 0)
     silent_start = (F.length(first_word) > 0) & (balance(first_word) == 0)

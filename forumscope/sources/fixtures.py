@@ -6,7 +6,7 @@ over it. ``plans/oracle.py`` states the same views in SQL. Ids are BIGINT so tha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumscope.functions.text import tokens
 from forumscope.schemas import ANSWER, QUESTION
@@ -100,13 +100,13 @@ class Community:
             )
             .distinct()
         )
-        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("tag"))
-        return (
-            tags.withColumn("place", place)
-            .where(f"place <= {TAGS_PER_QUESTION}")
-            .groupBy("l_orderkey")
-            .agg(F.expr("concat('<', array_join(sort_array(collect_list(tag)), '><'), '>') AS _Tags"))
-        )
+        in_order = "OVER (PARTITION BY l_orderkey ORDER BY tag)"
+        following = ", ".join(f"lead(tag, {i}) {in_order}" for i in range(1, TAGS_PER_QUESTION))
+        return tags.selectExpr(
+            "l_orderkey",
+            f"row_number() {in_order} AS place",
+            f"concat('<', concat_ws('><', tag, {following}), '>') AS _Tags",
+        ).where("place = 1").drop("place")
 
     def questions(self, with_tags: bool = False) -> DataFrame:
         """Questions; the tag column, which costs a join, only where a query reads it."""
