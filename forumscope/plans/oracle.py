@@ -521,7 +521,7 @@ QUERIES = {
     "question_features": _select((*COUNTERS, *FEATURES), "features", "_Id, target"),
     "corr_features": _correlations(FEATURES, "features"),
     "features_scaled": "SELECT _Id, "
-    + ", ".join(f"round(coalesce(({f} - m.{f}_m) / nullif(m.{f}_d, 0), 0), 6) + 0.0 AS {f}" for f in FEATURES)
+    + ", ".join(f"{_six(f'coalesce(({f} - m.{f}_m) / nullif(m.{f}_d, 0), 0)')} AS {f}" for f in FEATURES)
     + " FROM features, (SELECT "
     + ", ".join(f"avg({f}) AS {f}_m, stddev_samp({f}) AS {f}_d" for f in FEATURES)
     + " FROM features) m",
