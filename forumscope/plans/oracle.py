@@ -92,7 +92,8 @@ def _popularity(*keys: str) -> str:
 
 
 def _user_metric(table: str, expression: str, name: str, kind: int) -> str:
-    return f"""SELECT u._Id, u._Reputation, round(coalesce(m.v, 0), 6) AS {name} FROM so_users u LEFT JOIN (
+    value = _six("coalesce(m.v, 0)") if expression.startswith("avg") else "coalesce(m.v, 0)"
+    return f"""SELECT u._Id, u._Reputation, {value} AS {name} FROM so_users u LEFT JOIN (
         SELECT _OwnerUserId, {expression} AS v FROM {table} WHERE _PostTypeId = {kind} AND _OwnerUserId IS NOT NULL
         GROUP BY _OwnerUserId) m ON m._OwnerUserId = u._Id"""
 
@@ -265,7 +266,7 @@ def _select(columns, table: str, keep: str = "_Id") -> str:
 def _correlations(columns, table: str) -> str:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 6) AS r"
+        f"SELECT '{a}' AS a, '{b}' AS b, {_six(f'CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END')} AS r"
         f" FROM {table}"
         for a, b in pairs
     )
@@ -279,15 +280,15 @@ def _regressions(columns, table: str) -> str:
         middle = f"avg({y}) FILTER (WHERE {x} IS NOT NULL) - {slope} * avg({x}) FILTER (WHERE {y} IS NOT NULL)"
         r2 = f"CASE WHEN isnan(corr({y}, {x})) THEN NULL ELSE pow(corr({y}, {x}), 2) END"
         fits.append(
-            f"SELECT '{y}' AS metric, round({slope}, 6) + 0.0 AS slope, round({middle}, 6) + 0.0 AS intercept,"
-            f" round({r2}, 6) AS r2 FROM {table}"
+            f"SELECT '{y}' AS metric, {_six(slope)} AS slope, {_six(middle)} AS intercept,"
+            f" {_six(r2)} AS r2 FROM {table}"
         )
     return " UNION ALL ".join(fits)
 
 
 def _histogram(column: str, table: str, edges: str) -> str:
     """``edges`` is a list expression, or a scalar query that gives one."""
-    return f"""SELECT e.bin, round(e.lo, 6) AS lo, round(e.hi, 6) AS hi, count(v.v) AS n_rows FROM (
+    return f"""SELECT e.bin, {_six('e.lo')} AS lo, {_six('e.hi')} AS hi, count(v.v) AS n_rows FROM (
         SELECT CAST(i AS INT) AS bin, l[i] AS lo, l[i + 1] AS hi
         FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT {edges} AS l))) e
         LEFT JOIN (SELECT CAST({column} AS DOUBLE) AS v FROM {table}) v
@@ -375,8 +376,8 @@ def _equal_width(columns, table: str) -> str:
 
 def _ranges(columns, table: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS metric, round(CAST(min({c}) AS DOUBLE), 6) AS min_value,
-        round(CAST(max({c}) AS DOUBLE), 6) AS max_value, count({c}) AS n_values FROM {table}"""
+        f"""SELECT '{c}' AS metric, {_six(f'min({c})')} AS min_value,
+        {_six(f'max({c})')} AS max_value, count({c}) AS n_values FROM {table}"""
         for c in columns
     )
 
@@ -494,7 +495,7 @@ QUERIES = {
     "metric_ranges": _ranges((*METRICS, *DELAYS), "delayed"),
     "positive_share": "SELECT "
     + ", ".join(
-        f"round(count({c}) FILTER (WHERE round(sentiment, 9) >= 0.5) / count({c}), 6) AS share_{c}"
+        f"{_six(f'count({c}) FILTER (WHERE round(sentiment, 9) >= 0.5) / count({c})')} AS share_{c}"
         for c in (*METRICS, *DELAYS)
     )
     + " FROM delayed",
@@ -525,7 +526,7 @@ QUERIES = {
     + " FROM features, (SELECT "
     + ", ".join(f"avg({f}) AS {f}_m, stddev_samp({f}) AS {f}_d" for f in FEATURES)
     + " FROM features) m",
-    "tag_tfidf": """SELECT Tag, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY Tag)), 6) AS weight FROM weights""",
+    "tag_tfidf": f"SELECT Tag, term, {_six('w / sqrt(sum(w * w) OVER (PARTITION BY Tag))')} AS weight FROM weights",
     "tag_levenshtein": """SELECT a.Tag AS a, b.Tag AS b, CAST(levenshtein(a.Tag, b.Tag) AS INT) AS distance
         FROM frequency a JOIN frequency b ON a.Tag < b.Tag WHERE levenshtein(a.Tag, b.Tag) <= 2""",
 }
