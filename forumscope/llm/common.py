@@ -30,6 +30,16 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+SMALL_BYTES = 16 << 20
+
+
+def small(df: DataFrame, width: Column | int = 64, limit: int = SMALL_BYTES) -> DataFrame:
+    """Marked for broadcast if its measured size allows, else as it is. ``width``: a row's bytes."""
+    width = F.lit(width) if isinstance(width, int) else width
+    measured = df.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if measured <= limit else df
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forumscope.llm import mixing, rules, sitequality
+from forumscope.llm import linededup, mixing, packing, rules, simhash, sitequality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op3_rules": rules.op3_rules,
+    "op5_packing": packing.op5_packing,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality": sitequality.op7_quality,
     "op10_mixing": mixing.op10_mixing,
 }
