@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forumscope.llm import linededup, mixing, packing, rules, simhash, sitequality
+from forumscope.llm import linededup, mixing, neighbours, packing, pii, rules, simhash, sitequality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_nearest": neighbours.op2_nearest,
     "op3_rules": rules.op3_rules,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality": sitequality.op7_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
