@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forumscope.llm.common import map_arrow, packed, stored, table
+from forumscope.llm.common import map_arrow, packed, small, stored, table
 from forumscope.llm.components import components
 from forumscope.operators.joins import fits_broadcast, join_lookup
 
@@ -158,7 +158,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = docs.select(packed(docs))
     goes = found.join(stays.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
-    kept = rows.join(goes.distinct(), F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    goes = small(stored(goes.distinct(), "simhash-goes"))
+    kept = rows.join(goes, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     if not stays.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows of one document
         kept = kept.groupBy(F.col("_row.doc_id").alias("_id")).agg(F.min_by("_row", F.struct("_row.text")).alias("_row"))
     return kept.select("_row.*")

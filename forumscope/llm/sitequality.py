@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forumscope.llm.common import packed, stable_hash, stored, table
+from forumscope.llm.common import packed, small, stable_hash, stored, table
 from forumscope.llm.measures import MEASURES, measured
 from forumscope.operators.joins import fits_broadcast
 
@@ -141,8 +141,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns; of rows that share a doc_id all go if one is rejected."""
     rejected = posteriors(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rejected = small(stored(rejected, "quality-rejected"))
     rows = docs.select(packed(docs))
     return rows.join(rejected, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
 
