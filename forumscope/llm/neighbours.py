@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from forumscope.llm.common import map_arrow, small, stored, table
 
 NEAREST = 20
-DEGREE = 24
-BEAM = 48
-EXPAND = 16
+DEGREE = 40
+BEAM = 96
+EXPAND = 24
 BLOCK = 400
 STARTS = 3
 ROUNDS = 8

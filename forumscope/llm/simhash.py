@@ -157,8 +157,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stored(groups(docs), "simhash-groups")
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows = docs.select(packed(docs))
-    goes = found.join(stays.select("doc_id").distinct(), "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
-    goes = small(stored(goes.distinct(), "simhash-goes"))
+    ids = stays.select(F.col("doc_id").alias("_stays")).distinct()
+    goes = found.select(F.col("doc_id").alias("_gone")).distinct().join(ids, F.col("_gone").eqNullSafe(F.col("_stays")), "left_anti")
+    goes = small(stored(goes, "simhash-goes"))
     kept = rows.join(goes, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     if not stays.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows of one document
         kept = kept.groupBy(F.col("_row.doc_id").alias("_id")).agg(F.min_by("_row", F.struct("_row.text")).alias("_row"))
