@@ -211,7 +211,8 @@ def _scored(pairs: DataFrame, coded: DataFrame, queries: DataFrame) -> DataFrame
         def work(batch: pa.RecordBatch) -> dict | None:
             if not batch.num_rows:
                 return None
-            s = np.einsum("ij,ij->i", _matrix(batch.column("code")), _matrix(batch.column("query")))
+            x, query = _matrix(batch.column("code")), _matrix(batch.column("query"))
+            s = np.einsum("ij,ij->i", x[:, :-1], query[:, :-1])  # the component that evens out norms is no part of a query
             return {"q": batch.column("q"), "v": batch.column("v"), "s": pa.array(s)}
 
         return work
