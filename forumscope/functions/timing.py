@@ -6,13 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def moment(iso_text: Column) -> Column:
-    """Timestamp of an ISO string; text that is no timestamp gives null."""
-    return iso_text.try_cast("timestamp")
+    """Wall-clock time of an ISO string, whatever the session's zone; text that is no timestamp gives null."""
+    return iso_text.try_cast("timestamp_ntz")
 
 
 def delay_columns(asked: Column, answered: Column) -> dict[str, Column]:
     """Elapsed seconds, minutes and hours, and the calendar days between the two dates."""
-    seconds = F.unix_timestamp(answered) - F.unix_timestamp(asked)
+    seconds = F.timestamp_diff("SECOND", asked, answered)
     return {
         "AnswerDurationSeconds": seconds,
         "AnswerDurationMinute": seconds / F.lit(60.0),

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forumscope.operators.quantiles import group_profile
 from forumscope.session import shared_folder
 
 # Stands for "no second choice": far below any similarity.
@@ -51,36 +50,41 @@ def name_similarity(pairs: DataFrame) -> DataFrame:
     return _both_ways(pairs.select("a", "b", (-F.col("distance")).alias("s")))
 
 
-def profile_similarity(tags: DataFrame, pairs: DataFrame, max_distance: int) -> DataFrame:
-    """Edges in both directions with the negated squared distance between distance rows: (i, k, s).
-
-    A tag's row holds its distance to every tag, where distances above the limit count as limit + 1.
-    Stored as ``limit + 1 - distance`` a row is sparse, and the squared difference of two rows follows
-    from their squared lengths and their product over shared neighbours.
-    """
+def _closeness(tags: DataFrame, pairs: DataFrame, max_distance: int) -> DataFrame:
+    """Rows of distances, sparse: ``limit + 1 - distance`` for each tag and those within the limit, itself included."""
     far = max_distance + 1
     names = tags.select("Tag").distinct()
-    closeness = _both_ways(pairs.select("a", "b", (far - F.col("distance")).alias("s"))).unionAll(
+    return _both_ways(pairs.select("a", "b", (far - F.col("distance")).alias("s"))).unionAll(
         names.select(F.col("Tag").alias("i"), F.col("Tag").alias("k"), F.lit(far).alias("s"))
     )
-    lengths = closeness.groupBy("i").agg(F.sum(F.col("s") * F.col("s")).alias("length"))
+
+
+def profile_halves(tags: DataFrame, pairs: DataFrame, max_distance: int) -> DataFrame:
+    """(Tag, half): two tags whose rows share nothing have the similarity half + half, minus both squared lengths."""
+    rows = _closeness(tags, pairs, max_distance)
+    return rows.groupBy(F.col("i").alias("Tag")).agg((-F.sum(F.col("s") * F.col("s"))).cast("double").alias("half"))
+
+
+def profile_similarity(tags: DataFrame, pairs: DataFrame, max_distance: int) -> DataFrame:
+    """Edges in both directions with the negated squared distance between distance rows: (i, k, s).
+
+    A tag's row holds its distance to every tag, where distances above the limit count as limit + 1. The squared
+    difference of two rows follows from their squared lengths and their product over shared neighbours. Every pair
+    that shares a neighbour is an edge; any other has the similarity that ``profile_halves`` gives.
+    """
+    closeness = _closeness(tags, pairs, max_distance)
+    lengths = profile_halves(tags, pairs, max_distance)
     first = closeness.select(F.col("i").alias("a"), F.col("k").alias("via"), F.col("s").alias("sa"))
     second = closeness.select(F.col("i").alias("b"), F.col("k").alias("via"), F.col("s").alias("sb"))
     products = (
-        pairs.select("a", "b")
-        .join(first, "a")
-        .join(second, ["b", "via"], "left")
+        first.join(second, "via")
+        .where(F.col("a") < F.col("b"))
         .groupBy("a", "b")
-        .agg(F.sum(F.col("sa") * F.coalesce("sb", F.lit(0))).alias("product"))
+        .agg(F.sum(F.col("sa") * F.col("sb")).alias("product"))
     )
-    of = {side: lengths.select(F.col("i").alias(side), F.col("length").alias(f"length_{side}")) for side in "ab"}
-    squared = F.col("length_a") + F.col("length_b") - 2 * F.col("product")
-    return _both_ways(products.join(of["a"], "a").join(of["b"], "b").select("a", "b", (-squared).alias("s")))
-
-
-def unlike_profiles(max_distance: int) -> float:
-    """Similarity of two tags whose distance rows share no neighbour and hold nothing but themselves."""
-    return -2.0 * (max_distance + 1) ** 2
+    of = {side: lengths.select(F.col("Tag").alias(side), F.col("half").alias(f"half_{side}")) for side in "ab"}
+    similarity = F.col("half_a") + F.col("half_b") + 2 * F.col("product")
+    return _both_ways(products.join(of["a"], "a").join(of["b"], "b").select("a", "b", similarity.alias("s")))
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def affinity_clusters(
     tags: DataFrame,
     edges: DataFrame,
-    absent: float,
+    absent: float | DataFrame,
     preference: float | None = None,
     damping: float = 0.5,
     max_iterations: int = 200,
@@ -103,15 +107,17 @@ def affinity_clusters(
 ) -> DataFrame:
     """Exemplar of each tag by affinity propagation over similarity edges: (Tag, exemplar).
 
-    ``absent`` is the similarity that a pair without an edge counts with; the preference defaults to
-    the median over all pairs. A small fixed disturbance from the names breaks ties. Messages are
+    ``absent`` is the similarity that a pair without an edge counts with, one for all or (Tag, half) for the sum
+    of two halves; the preference defaults to the median over all pairs. A small fixed disturbance from the names breaks ties. Messages are
     checkpointed after each block of iterations, which also ends the growing lineage, and the loop
     ends when no tag has changed its exemplar state for ``stable_iterations``.
     """
     shared_folder(tags.sparkSession)
     edges, names = edges.checkpoint(), tags.select("Tag").distinct()
+    halves = absent if isinstance(absent, DataFrame) else names.withColumn("half", F.lit(absent / 2))
+    halves = halves.checkpoint()
     if preference is None:
-        preference = median_similarity(edges, names.count(), absent)
+        preference = median_similarity(edges, halves)
     own = names.select(
         F.col("Tag").alias("i"), F.col("Tag").alias("k"), F.lit(float(preference)).alias("s")
     )
@@ -141,19 +147,36 @@ def affinity_clusters(
             break
     leaders = state.where((F.col("i") == F.col("k")) & F.col("leads")).select("k")
     clusters = _nearest_leader(similar, leaders).checkpoint()
-    centres = _cluster_centres(similar, clusters, absent).checkpoint()
+    centres = _cluster_centres(similar, clusters, halves).checkpoint()
     return _nearest_leader(similar, centres).select(F.col("i").alias("Tag"), F.col("leader").alias("exemplar"))
 
 
-def median_similarity(edges: DataFrame, n_tags: int, absent: float) -> float:
-    """Median over all ordered pairs: edges, zero for each tag with itself, ``absent`` for the rest."""
-    own = edges.sparkSession.range(n_tags).select(F.lit(0).alias("s"))
-    known = edges.select(F.col("s").cast("int").alias("s")).unionAll(own)
-    n_known = known.count()
-    middle = (n_tags * n_tags - 1) / 2 - (n_tags * n_tags - n_known)
-    if middle < 0 or n_known < 2:
-        return float(absent)
-    return float(group_profile(known, [], ["s"], (middle / (n_known - 1),)).first()["s_q0"])
+def median_similarity(edges: DataFrame, halves: DataFrame) -> float:
+    """Median over all ordered pairs: edges, zero for each tag with itself, the sum of two halves for the rest.
+
+    Every value takes its place by rank, so an edge may lie on either side of an absent pair. Absent pairs are counted by
+    the value of their halves, all of them less those that have an edge; values, not pairs, are combined and ordered.
+    """
+    sizes = halves.groupBy("half").agg(F.count(F.lit(1)).alias("m"))
+    listed = sizes.agg(F.collect_list(F.struct("half", "m")).alias("all"))  # the different values of a half
+    first = listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
+    same = F.when(F.col("x.half") == F.col("y.half"), F.col("x.m")).otherwise(0)
+    every = first.select((F.col("x.half") + F.col("y.half")).alias("s"), (F.col("x.m") * F.col("y.m") - same).alias("n"))
+    of = {side: halves.select(F.col("Tag").alias(side), F.col("half").alias(f"half_{side}")) for side in "ik"}
+    joined = edges.join(of["i"], "i").join(of["k"], "k")
+    taken = joined.select((F.col("half_i") + F.col("half_k")).alias("s"), F.lit(-1).alias("n"))
+    present = edges.select(F.col("s").cast("double").alias("s"), F.lit(1).alias("n"))
+    own = halves.select(F.lit(0.0).alias("s"), F.lit(1).alias("n"))
+    counts = every.unionAll(taken).unionAll(present).unionAll(own).groupBy("s").agg(F.sum("n").alias("n")).where("n > 0")
+    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("s"))).checkpoint()
+    total = ranked.agg(F.max("upto")).first()[0]
+    if not total:
+        return 0.0
+    low, high = (
+        ranked.where(F.col("upto") > rank).agg(F.min("s").alias("s")).first()["s"]
+        for rank in ((total - 1) // 2, total // 2)
+    )
+    return (low + high) / 2
 
 
 def _pass_messages(state: DataFrame, damping: float) -> DataFrame:
@@ -207,18 +230,23 @@ def _nearest_leader(similar: DataFrame, leaders: DataFrame) -> DataFrame:
     )
 
 
-def _cluster_centres(similar: DataFrame, clusters: DataFrame, absent: float) -> DataFrame:
-    """The member of each cluster with the highest total similarity from all members: (k)."""
-    of_i = clusters.withColumnRenamed("leader", "cluster")
-    of_k = clusters.select(F.col("i").alias("k"), F.col("leader").alias("cluster"))
-    sizes = of_i.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+def _cluster_centres(similar: DataFrame, clusters: DataFrame, halves: DataFrame) -> DataFrame:
+    """The member of each cluster with the highest total similarity from all members: (k).
+
+    Members without an edge to k count with their halves and k's.
+    """
+    named = clusters.join(halves.withColumnRenamed("Tag", "i"), "i")
+    of_i = named.select("i", F.col("leader").alias("cluster"), "half")
+    of_k = named.select(F.col("i").alias("k"), F.col("leader").alias("cluster"), F.col("half").alias("own"))
+    sizes = of_i.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("half").alias("halves"))
+    unknown = F.col("size") - F.col("known")
     totals = (
         similar.join(of_i, "i")
         .join(of_k, ["k", "cluster"])
-        .groupBy("cluster", "k")
-        .agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("known"))
+        .groupBy("cluster", "k", "own")
+        .agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("known"), F.sum("half").alias("known_halves"))
         .join(sizes, "cluster")
-        .withColumn("total", F.col("s") + (F.col("size") - F.col("known")) * F.lit(float(absent)))
+        .withColumn("total", F.col("s") + F.col("halves") - F.col("known_halves") + unknown * F.col("own"))
     )
     return totals.groupBy("cluster").agg(F.max(F.struct("total", "k"))["k"].alias("k")).select("k")
 

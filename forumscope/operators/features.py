@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forumscope.operators.text import METRICS
 
+# Outcome labels.
+BEST, SOME, NONE = "BestAnswered", "Answered", "Unanswered"
+
 # Short feature names, in the order of the metrics.
 FEATURES = ("FG", "FE", "CL", "CP", "CSPT", "CSTT", "SENT")
 COUNTERS = ("_Score", "_ViewCount", "_AnswerCount", "_CommentCount", "_FavoriteCount")
@@ -20,9 +23,9 @@ def with_outcome(posts: DataFrame) -> DataFrame:
     """Label each question by its answers: none, some, or an accepted one."""
     answered = F.coalesce(F.col("_AnswerCount"), F.lit(0)) > 0
     label = (
-        F.when(answered & (F.col("_AcceptedAnswerId") > 0), "BestAnswered")
-        .when(answered, "Answered")
-        .otherwise("Unanswered")
+        F.when(answered & (F.col("_AcceptedAnswerId") > 0), BEST)
+        .when(answered, SOME)
+        .otherwise(NONE)
     )
     return posts.withColumn("target", label)
 
@@ -36,7 +39,7 @@ def question_features(metrics: DataFrame) -> DataFrame:
     labelled = with_outcome(metrics)
     numbers = [F.col(c).cast("double").alias(c) for c in COUNTERS]
     numbers += [F.col(long).alias(short) for long, short in zip(METRICS, FEATURES)]
-    filled = labelled.select("_Id", *numbers, "target")
+    filled = labelled.select("_Id", "_AcceptedAnswerId", *numbers, "target")
     return filled.na.fill(0.0, subset=[*COUNTERS, *FEATURES])
 
 
@@ -100,14 +103,28 @@ def pca_loadings(spark, model: PCAModel, columns: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "pc STRING, feature STRING, loading DOUBLE")
 
 
+def chosen(share: float, seed: int, key: str = "_Id") -> Column:
+    """Whether a row is in a sample: by a hash of its key, so the same rows on any cluster and in any order."""
+    start = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    return F.conv(start, 16, 10).cast("bigint") / F.lit(float(1 << 32)) < share
+
+
 def sample_about(df: DataFrame, rows: int, seed: int) -> DataFrame:
     """A random sample of about this many rows."""
-    return df.sample(min(1.0, rows / max(df.count(), 1)), seed=seed)
+    return df.where(chosen(min(1.0, rows / max(df.count(), 1)), seed))
 
 
 def sample_by_year(posts: DataFrame, years: Sequence[int], fraction: float, seed: int) -> DataFrame:
     """The same share of the questions of each year, in one pass."""
-    return posts.where(F.col("Year").isin(*years)).sampleBy("Year", {y: fraction for y in years}, seed)
+    return posts.where(F.col("Year").isin(*years) & chosen(fraction, seed))
+
+
+def correlation_of_components(spark, model: PCAModel, columns: Sequence[str]) -> DataFrame:
+    """Correlations (a, b, r) rebuilt from all loadings and variances of a model on scaled columns."""
+    matrix, ratios = model.pc.toArray(), model.explainedVariance.toArray()
+    rebuilt = (matrix * ratios * len(columns)) @ matrix.T
+    rows = [(a, b, float(rebuilt[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    return spark.createDataFrame(rows, "a STRING, b STRING, r DOUBLE")
 
 
 def _spread(df: DataFrame, vector: str, names: Sequence[str], carry: Sequence[str]) -> DataFrame:

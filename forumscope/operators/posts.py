@@ -43,9 +43,11 @@ def question_base(posts: DataFrame) -> DataFrame:
 def questions_since(posts: DataFrame, after_year: int) -> DataFrame:
     """Questions asked after the given year.
 
-    ISO text sorts by time, so the comparison stays on the stored column and reaches the scan.
+    ISO text sorts by time, so the first comparison stays on the stored column and reaches the scan; the second
+    drops text that is no date.
     """
-    return questions(posts).where(F.col("_CreationDate") >= f"{after_year + 1:04d}")
+    asked = F.col("_CreationDate")
+    return questions(posts).where((asked >= f"{after_year + 1:04d}") & (F.year(moment(asked)) > after_year))
 
 
 def post_counts(posts: DataFrame) -> DataFrame:
@@ -63,7 +65,8 @@ def post_counts(posts: DataFrame) -> DataFrame:
 
 
 def questions_per_year(posts: DataFrame) -> DataFrame:
-    return question_base(posts).groupBy("Year").agg(F.count(F.lit(1)).alias("n_questions"))
+    asked = questions(posts).select(F.year(moment(F.col("_CreationDate"))).alias("Year"))
+    return asked.groupBy("Year").agg(F.count(F.lit(1)).alias("n_questions"))
 
 
 def with_accepted_answer(asked: DataFrame, answered: DataFrame, keep_open: bool = False) -> DataFrame:

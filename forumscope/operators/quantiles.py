@@ -16,7 +16,13 @@ BUCKET_BITS = 16
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Occurrences of each value of each column within each group: (keys, metric, value, n)."""
+    """Occurrences of each value of each column within each group: (keys, metric, value, n).
+
+    Only for integer columns: a fraction would be cut off.
+    """
+    kinds = dict(df.select(*columns).dtypes)
+    if wrong := [c for c, kind in kinds.items() if kind not in ("tinyint", "smallint", "int", "bigint", "boolean")]:
+        raise ValueError(f"exact quantiles need integer columns, not {', '.join(wrong)}")
     pairs = ", ".join(f"struct('{c}' AS metric, CAST({c} AS BIGINT) AS value)" for c in columns)
     return (
         df.selectExpr(*keys, f"inline(array({pairs}))")

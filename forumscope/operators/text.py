@@ -28,7 +28,12 @@ BOOST = 0.293
 NEGATED = -0.74
 NORMALISER = 15.0
 FADE = (1.0, 0.95, 0.9)
-NEGATIONS = ("cannot", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "nowhere", "without")
+# The second line is what the token rule leaves of contractions such as isn't.
+NEGATIONS = (
+    "cannot", "neither", "never", "no", "nobody", "none", "nor", "not", "nothing", "nowhere", "without",
+    "ain", "aren", "couldn", "didn", "doesn", "don", "hadn", "hasn", "haven", "isn", "mightn", "mustn", "needn", "shan",
+    "shouldn", "wasn", "weren", "won", "wouldn",
+)
 AMPLIFIERS = ("absolutely", "completely", "especially", "extremely", "highly", "really", "so", "totally", "very")
 DAMPENERS = ("barely", "hardly", "marginally", "partly", "scarcely", "slightly", "somewhat")
 
@@ -121,8 +126,8 @@ def sentiment_scores(
     return sums.select("_Id", (F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORMALISER)).alias("sentiment"))
 
 
-def question_metrics(posts: DataFrame, lexicon: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """The seven text metrics of each question, zero for texts of ten words or fewer.
+def question_metrics(posts: DataFrame, lexicon: DataFrame | None, carry: Sequence[str] = ()) -> DataFrame:
+    """The seven text metrics of each question, zero for texts of ten words or fewer; six without a lexicon.
 
     Bodies never leave the scan: everything but sentiment is a column of the scanned row, and the
     sentiment join moves ids and numbers only.
@@ -163,6 +168,8 @@ def question_metrics(posts: DataFrame, lexicon: DataFrame, carry: Sequence[str]
         (w > GATE_WORDS).alias("long_enough"),
         *[_gated(w > GATE_WORDS, v).alias(name) for name, v in zip(METRICS, values)],
     )
+    if lexicon is None:
+        return measured.drop("long_enough")
     return measured.join(sentiment_scores(posts, lexicon), "_Id", "left").select(
         "_Id",
         *carry,

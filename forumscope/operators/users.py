@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from forumscope.schemas import ANSWER, BRONZE, GOLD, QUESTION, SILVER
 
@@ -93,6 +93,14 @@ def top_users(metric_table: DataFrame, metric: str, n: int) -> DataFrame:
     return metric_table.orderBy(F.desc(metric), "_Id").limit(n)
 
 
+def top_of_each(values: DataFrame, n: int) -> DataFrame:
+    """The ``n`` users highest in each metric (metric, value), ties by id."""
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "_Id"))
+    return (
+        values.withColumn("place", place).where(F.col("place") <= n).select("metric", "_Id", "_Reputation", "value")
+    )
+
+
 def without_outliers(metric_table: DataFrame, caps: dict[str, float]) -> DataFrame:
     """Rows whose metrics are all at or below their caps."""
     kept = metric_table

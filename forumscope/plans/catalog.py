@@ -6,7 +6,6 @@ Queries round doubles so that results compare across engines; operators never ro
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +13,7 @@ from forumscope.functions.tags import tag_words
 from forumscope.functions.timing import moment
 from forumscope.operators import affinity, clusters, features, posts, stats, tags, text, users
 from forumscope.schemas import DUMP_TABLES
-from forumscope.session import new_folder, shared_folder, use_utc
+from forumscope.session import new_folder, shared_folder
 from forumscope.sources import dumps
 from forumscope.sources.fixtures import Community
 
@@ -106,6 +105,13 @@ def metrics(c: Community, *carry: str) -> DataFrame:
     return text.question_metrics(c.texts(), lexicon(c), carry)
 
 
+def stored_metric(c: Community, column: str) -> DataFrame:
+    """One metric, written once: a histogram reads it for its edges and again for its bins."""
+    shared_folder(c.spark)
+    table = text.question_metrics(c.texts(), lexicon(c) if column == "sentiment" else None)
+    return rounded(table.select(column), 9).checkpoint()
+
+
 def metrics_with_delay(c: Community) -> DataFrame:
     asked = metrics(c, "_AcceptedAnswerId", "_CreationDate", "_Score", "_ViewCount", "_AnswerCount")
     joined = posts.with_accepted_answer(asked, posts.answers(c.text_answers()), keep_open=True)
@@ -244,16 +250,11 @@ def user_queries() -> dict[str, Query]:
 
 
 def top_users_by_metric(c: Community) -> DataFrame:
-    """Ten leading users in each post metric; one pass over the posts feeds all lists."""
+    """Ten leading users in each post metric; one aggregation of the posts feeds all lists."""
     names = ["answer_sum_score", "answer_avg_score", "question_sum_score", "question_avg_score", "question_sum_viewcount"]
     table = users.users_with(c.users(), users.owner_totals(c.posts(), names), "_OwnerUserId")
-    lists = [
-        users.top_users(table, m, 10).select(
-            F.lit(m).alias("metric"), "_Id", "_Reputation", F.col(m).cast("double").alias("value")
-        )
-        for m in names
-    ]
-    return reduce(DataFrame.unionAll, lists)
+    values = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names]))
+    return users.top_of_each(table.select("_Id", "_Reputation", values), 10)
 
 
 BADGE_COLUMNS = ("_Reputation", "count_all_badges", "count_gold", "count_silver", "count_bronze")
@@ -267,7 +268,9 @@ def badge_table(c: Community) -> DataFrame:
 
 
 def day_edges(df: DataFrame) -> list[float]:
-    return [*range(8), df.agg(F.max("AnswerDurationDays")).first()[0]]
+    """Days up to seven, and one bin for all longer delays if there are any."""
+    longest = df.agg(F.max("AnswerDurationDays")).first()[0]
+    return [*range(8), longest] if longest is not None and longest > 7 else list(range(8))
 
 
 def histogram_queries() -> dict[str, Query]:
@@ -275,17 +278,18 @@ def histogram_queries() -> dict[str, Query]:
         return lambda c: stats.histogram(delays(c), column, edges)
 
     def metric(column: str, edges) -> Query:
-        return lambda c: stats.histogram(rounded(metrics(c), 9), column, edges)
+        return lambda c: stats.histogram(stored_metric(c, column), column, edges)
 
     def spread(column: str, bins: int, start: float | None = None) -> Query:
         def query(c: Community) -> DataFrame:
-            table = rounded(metrics(c), 9)
+            table = stored_metric(c, column)
             return stats.histogram(table, column, stats.even_edges(table, column, bins, start))
 
         return query
 
     def days(c: Community) -> DataFrame:
-        table = delays(c)
+        shared_folder(c.spark)
+        table = delays(c).select("AnswerDurationDays").checkpoint()
         return stats.histogram(table, "AnswerDurationDays", day_edges(table))
 
     return {
@@ -318,6 +322,13 @@ def cluster_word_freq_export(c: Community) -> DataFrame:
     return dumps.read_csv(c.spark, path, words.select("Tag", "n", "cluster").schema)
 
 
+def kmeans_sizes_export(c: Community) -> DataFrame:
+    path = new_folder(c.spark, "cluster-sizes")
+    sizes = clusters.cluster_sizes(tag_clusters(c))
+    dumps.write_csv(sizes, path)
+    return dumps.read_csv(c.spark, path, sizes.schema)
+
+
 def similar_pairs(c: Community) -> tuple[DataFrame, DataFrame]:
     shared_folder(c.spark)
     names = tag_names(c).checkpoint()
@@ -333,15 +344,15 @@ def tag_affinity_euclid(c: Community) -> DataFrame:
     names, pairs = similar_pairs(c)
     pairs = pairs.checkpoint()
     edges = affinity.profile_similarity(names, pairs, EDIT_DISTANCE)
-    return affinity.affinity_clusters(names, edges, affinity.unlike_profiles(EDIT_DISTANCE))
+    return affinity.affinity_clusters(names, edges, affinity.profile_halves(names, pairs, EDIT_DISTANCE))
 
 
 def pca_model_roundtrip(c: Community) -> DataFrame:
-    """Loadings of a model that was saved and loaded again."""
+    """Loadings of a model, scaler included, that was saved and loaded again."""
     _, model = fitted_pca(c)
     path = new_folder(c.spark, "pca")
-    model.stages[-1].write().overwrite().save(path)
-    return features.pca_loadings(c.spark, features.PCAModel.load(path), features.FEATURES)
+    model.write().overwrite().save(path)
+    return features.pca_loadings(c.spark, features.PipelineModel.load(path).stages[-1], features.FEATURES)
 
 
 def pca_scores(c: Community) -> DataFrame:
@@ -378,7 +389,7 @@ JOBS: dict[str, Query] = {
         features.with_outcome(c.texts()).select("_Id", "target"), "target", "target_cat"
     ),
     "post_counts": lambda c: posts.post_counts(c.posts()),
-    "questions_per_year": lambda c: posts.questions_per_year(c.posts(with_tags=True)),
+    "questions_per_year": lambda c: posts.questions_per_year(c.posts()),
     "answer_delay": lambda c: delays(c, with_tags=True),
     "question_at_delay": lambda c: posts.question_at_delay(delays(c), 5).drop("_Tags"),
     # tags
@@ -435,6 +446,12 @@ JOBS: dict[str, Query] = {
     # features
     "question_features": feature_table,
     "corr_features": lambda c: stats.correlation(feature_table(c), features.FEATURES),
+    "corr_features9": lambda c: stats.correlation(
+        features.with_label_index(stored_features(c), "target", "target_cat"), [*features.FEATURES, "_Score", "target_cat"]
+    ),
+    "pca_correlation": lambda c: features.correlation_of_components(
+        c.spark, fitted_pca(c)[1].stages[-1], features.FEATURES
+    ),
     "features_scaled": lambda c: features.scaled_columns(stored_features(c), features.FEATURES, ["_Id"]),
     "pca_scores": pca_scores,
     "pca_scores_sample": lambda c: features.sample_about(pca_scores(c), 1000, SEED),
@@ -449,6 +466,7 @@ JOBS: dict[str, Query] = {
     "kmeans_sizes": lambda c: clusters.cluster_sizes(tag_clusters(c)),
     "cluster_word_freq": lambda c: clusters.cluster_words(tag_clusters(c)),
     "cluster_word_freq_export": cluster_word_freq_export,
+    "kmeans_sizes_export": kmeans_sizes_export,
     "tag_levenshtein": lambda c: affinity.similar_tags(tag_names(c), EDIT_DISTANCE),
     "tag_affinity": tag_affinity,
     "tag_affinity_euclid": tag_affinity_euclid,
@@ -457,7 +475,7 @@ JOBS: dict[str, Query] = {
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(JOBS[name](Community(use_utc(spark), folder)))
+    return rounded(JOBS[name](Community(spark, folder)))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+# Output names and patterns that the library states as well.
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 MARKUP = "<.*?>|&([a-z0-9]+|#[0-9]{1,6}|#x[0-9a-f]{1,6});"
@@ -41,7 +42,11 @@ SLOW = (
 )
 AMPLIFIERS = "('absolutely','completely','especially','extremely','highly','really','so','totally','very')"
 DAMPENERS = "('barely','hardly','marginally','partly','scarcely','slightly','somewhat')"
-NEGATIONS = "('cannot','neither','never','no','nobody','none','nor','not','nothing','nowhere','without')"
+NEGATIONS = (
+    "('cannot','neither','never','no','nobody','none','nor','not','nothing','nowhere','without',"
+    "'ain','aren','couldn','didn','doesn','don','hadn','hasn','haven','isn','mightn','mustn','needn','shan','shouldn',"
+    "'wasn','weren','won','wouldn')"
+)
 
 
 def _six(expression: str) -> str:
@@ -102,9 +107,8 @@ VIEWS = {
     "so_users": """SELECT c_custkey AS _Id, CAST(floor(c_acctbal) AS INT) AS _Reputation, c_name AS _DisplayName
         FROM customer""",
     "so_badges": f"""SELECT o_orderkey AS _Id, o_custkey AS _UserId, substr(o_orderpriority, 3) AS _Name,
-        strftime(o_orderdate, '{ISO}') AS _Date, CAST(substr(o_orderpriority, 1, 1) AS INT) AS _Class,
-        o_orderkey % 5 = 0 AS _TagBased FROM orders
-        WHERE CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3 AND o_custkey % 7 <> 0""",
+        strftime(o_orderdate, '{ISO}') AS _Date, CAST(1 + CAST(substr(o_orderpriority, 1, 1) AS INT) % 3 AS INT) AS _Class,
+        o_orderkey % 5 = 0 AS _TagBased FROM orders""",
     "answer_rows": f"""SELECT {BASE} + l_orderkey * 10 + l_linenumber AS _Id, l_orderkey AS _ParentId,
         min(l_partkey) AS _OwnerUserId, CAST(max(floor(l_extendedprice)) % 41 - 10 AS INT) AS _Score,
         CAST(max(l_quantity * l_quantity) * l_linenumber * l_linenumber * 7 AS INT) AS delay
@@ -113,7 +117,7 @@ VIEWS = {
         strftime(o.o_orderdate + to_seconds(a.delay), '{ISO}') AS _CreationDate, a._Score, a._OwnerUserId
         FROM answer_rows a JOIN orders o ON o.o_orderkey = a._ParentId""",
     "tag_strings": """SELECT l_orderkey,
-        concat('<', array_to_string(list_slice(list_sort(list(DISTINCT tag)), 1, 5), '><'), '>') AS _Tags FROM (
+        concat('<', array_to_string(list_sort(list(DISTINCT tag)), '><'), '>') AS _Tags FROM (
           SELECT l_orderkey, replace(p_name, ' ', '-') AS tag FROM lineitem JOIN part ON l_partkey = p_partkey
           UNION ALL
           SELECT l_orderkey, lower(p_type) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)
@@ -136,8 +140,8 @@ VIEWS = {
         concat('<p>', substr(text, 1, CAST(floor(n_chars * 3 / 4) AS INT)), '</p>',
           CASE WHEN d.doc_id % 3 = 0
           THEN concat('<pre><code>', substr(text, CAST(floor(n_chars * 3 / 4) AS INT) + 1), '</code></pre>')
-          ELSE '' END) AS _Body,
-        substr(replace(text, chr(10), ' '), 1, 60) AS _Title, concat('<', lang, '><', source, '>') AS _Tags,
+          ELSE concat('<p>', substr(text, CAST(floor(n_chars * 3 / 4) AS INT) + 1), '</p>') END) AS _Body,
+        split_part(text, chr(10), 1) AS _Title, concat('<', lang, '><', source, '>') AS _Tags,
         CAST(CASE WHEN quality IS NULL THEN 0 ELSE 1 + toxic END AS INT) AS _AnswerCount,
         CAST(CASE WHEN d.doc_id % 5 <> 0 THEN d.doc_id % 7 END AS INT) AS _CommentCount,
         CAST(CASE WHEN d.doc_id % 4 = 0 THEN n_chars % 11 END AS INT) AS _FavoriteCount
@@ -149,7 +153,7 @@ VIEWS = {
     "so_markup": "SELECT _Id, _Body FROM so_texts UNION ALL SELECT -1 - page_id, html FROM pages",
     "lexicon": f"""SELECT term, sum(quality) * 2.0::DOUBLE / count(*) - 1.7::DOUBLE AS valence FROM (
         SELECT d.doc_id, quality, unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) AS term
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id) GROUP BY term HAVING count(*) >= 5""",
+        FROM documents d JOIN labels l ON l.doc_id = d.doc_id) GROUP BY term""",
     "base": """SELECT _Id, _PostTypeId, _AcceptedAnswerId, _ViewCount, _Score, _Tags, _AnswerCount,
         CASE WHEN _AcceptedAnswerId IS NULL THEN 0 ELSE 1 END AS is_answer,
         CAST(year(CAST(_CreationDate AS TIMESTAMP)) AS INT) AS Year,
@@ -246,7 +250,7 @@ VIEWS = {
         FROM metrics m JOIN so_texts q USING (_Id) LEFT JOIN text_answers a ON a.AnswerId = q._AcceptedAnswerId""",
     "outcomes": """SELECT _Id, CASE WHEN coalesce(_AnswerCount, 0) = 0 THEN 'Unanswered'
         WHEN _AcceptedAnswerId IS NULL THEN 'Answered' ELSE 'BestAnswered' END AS target FROM so_texts""",
-    "features": "SELECT _Id, "
+    "features": "SELECT _Id, _AcceptedAnswerId, "
     + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in COUNTERS)
     + ", "
     + ", ".join(f"CAST({m} AS DOUBLE) AS {f}" for m, f in zip(METRICS, FEATURES))
@@ -259,6 +263,11 @@ VIEWS = {
 }
 
 
+def _chosen(share: float) -> str:
+    """Whether a row is in the sample: the start of a hash of its id, as a part of one, is below the share."""
+    return f"('0x' || substr(md5('1|' || _Id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {share}::DOUBLE"
+
+
 def _select(columns, table: str, keep: str = "_Id") -> str:
     return f"SELECT {keep}, " + ", ".join(f"{_six(c)} AS {c}" for c in columns) + f" FROM {table}"
 
@@ -393,7 +402,8 @@ QUERIES = {
         CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 1 END AS _LinkTypeId FROM orders""",
     "ingest_badges": "SELECT * FROM so_badges",
     "ingest_users": """SELECT *, CAST(_Reputation % 97 AS INT) AS _Views, CAST(_Reputation % 31 AS INT) AS _UpVotes,
-        concat('<b>', _DisplayName, '</b> & "more"') AS _AboutMe FROM so_users""",
+        CAST(_Reputation % 13 AS INT) AS _DownVotes, printf('%04d-01-02T03:04:05.678', 2008 + _Id % 10) AS _CreationDate,
+        CASE WHEN _Id % 3 <> 0 THEN '2021-02-03T04:05:06.789' END AS _LastAccessDate, concat('<b>', _DisplayName, '</b> & "more"') AS _AboutMe FROM so_users""",
     "ingest_posts": "SELECT * FROM so_posts",
     "parquet_roundtrip": "SELECT * FROM popularity",
     "parquet_multi_path": "SELECT _Id, _PostTypeId, _CreationDate, _Score FROM so_posts",
@@ -504,7 +514,8 @@ QUERIES = {
     "hist_delay_days": _histogram(
         "AnswerDurationDays",
         "delays",
-        "(SELECT list_append([0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[], max(AnswerDurationDays)::DOUBLE) FROM delays)",
+        "(SELECT CASE WHEN max(AnswerDurationDays) > 7 THEN list_append([0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[], "
+        "max(AnswerDurationDays)::DOUBLE) ELSE [0, 1, 2, 3, 4, 5, 6, 7]::DOUBLE[] END FROM delays)",
     ),
     "hist_delay_seconds": _histogram("AnswerDurationSeconds", "delays", _numbers([0, 1, *range(6, 61, 6)])),
     "hist_code_share": _spread("code_percentage", 10, "0.0::DOUBLE"),
@@ -519,8 +530,15 @@ QUERIES = {
         _numbers([i / 10 for i in range(-10, 0)] + [-0.05, 0.05] + [i / 10 for i in range(1, 11)]),
     ),
     "corr_slow_questions": _correlations(SLOW, "(SELECT * FROM delayed WHERE AnswerDurationDays > 1)"),
-    "question_features": _select((*COUNTERS, *FEATURES), "features", "_Id, target"),
+    "question_features": _select((*COUNTERS, *FEATURES), "features", "_Id, _AcceptedAnswerId, target"),
     "corr_features": _correlations(FEATURES, "features"),
+    "corr_features9": _correlations(
+        (*FEATURES, "_Score", "target_cat"),
+        "(SELECT *, CAST(dense_rank() OVER (ORDER BY target) - 1 AS INT) AS target_cat FROM features)",
+    ),
+    "pca_correlation": _correlations(FEATURES, "features"),
+    "stratified_sample": f"""SELECT _Id, _Score, CAST(year(CAST(_CreationDate AS TIMESTAMP)) AS INT) AS Year FROM so_texts
+        WHERE {_chosen(0.1)} AND year(CAST(_CreationDate AS TIMESTAMP)) BETWEEN 2012 AND 2021""",
     "features_scaled": "SELECT _Id, "
     + ", ".join(f"{_six(f'coalesce(({f} - m.{f}_m) / nullif(m.{f}_d, 0), 0)')} AS {f}" for f in FEATURES)
     + " FROM features, (SELECT "

@@ -26,13 +26,6 @@ def local_session(cores: int | str = "*", app: str = "forumscope", **conf: str)
     return spark
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Dump timestamps carry no zone; read them as UTC so delays never cross a clock change."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -42,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="forumscope-")
         spark.conf.set("spark.checkpoint.dir", folder)

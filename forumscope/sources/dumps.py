@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumscope.schemas import DUMP_TABLES
 
+#: Holds the text of lines that could not be read; never part of a result.
+BROKEN = "_broken"
+
 
 def read_xml_dump(spark: SparkSession, path: str, table: str, splittable: bool = True) -> DataFrame:
     """Read ``<row .../>`` elements of one dump table with its declared schema.
 
     ``splittable`` reads one element per line, as dumps are written, so that a plain or bzip2 file
-    is cut into many tasks. Lines that hold no element come back with every column null and are
-    dropped by the key. Files whose elements span lines need ``splittable=False``: one task a file.
+    is cut into many tasks; gzip is read too, one task a file. Lines that hold no element are dropped. A line
+    with an element that cannot be read, such as one that goes on in the next line, is an error: files whose
+    elements span lines need ``splittable=False``, one task a file.
     """
     rows = (
         spark.read.format("xml")
         .option("rowTag", "row")
         .option("multiLine", str(not splittable).lower())
-        .schema(DUMP_TABLES[table])
+        .option("columnNameOfCorruptRecord", BROKEN)
+        .schema(f"{DUMP_TABLES[table]}, {BROKEN} STRING")
         .load(path)
     )
-    return rows.where(F.col("_Id").isNotNull())
+    broken = F.col(BROKEN).contains("<row")
+    message = F.concat(F.lit("not a whole element: "), F.substring(BROKEN, 1, 200))
+    kept = F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.col("_Id").isNotNull())
+    return rows.where(kept).drop(BROKEN)
 
 
 def write_xml_dump(df: DataFrame, path: str, root: str) -> None:
@@ -49,11 +57,3 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read CSV with a header and a declared schema."""
     return spark.read.schema(schema).option("header", "true").csv(path)
 
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for heavy work on a table that the scan cuts into few tasks.
-
-    A scan with at least as many tasks as there are cores stays as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df

@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumscope.functions.text import tokens
 from forumscope.schemas import ANSWER, QUESTION
-from forumscope.sources.dumps import spread_small
 
 ANSWER_ID_BASE = 1_000_000_000_000
-TAGS_PER_QUESTION = 5
 ISO = "yyyy-MM-dd\\'T\\'HH:mm:ss.SSS"
 ASKED_TEXT = (
     "format_string('%04d-%02d-%02dT08:30:00.000', 2012 + doc_id % 10, 1 + doc_id % 12, 1 + doc_id % 28)"
@@ -26,7 +24,7 @@ class Community:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._opened: dict[str | tuple[str, str], DataFrame] = {}
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """A given table; its files are listed once for each instance."""
@@ -34,35 +32,25 @@ class Community:
             self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._opened[name]
 
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A given table for heavy work, over all cores even where its files make few tasks."""
-        if (name, key) not in self._opened:
-            self._opened[name, key] = spread_small(self.table(name), key)
-        return self._opened[name, key]
-
     def users(self) -> DataFrame:
         return self.table("customer").selectExpr(
             "c_custkey AS _Id", "CAST(floor(c_acctbal) AS INT) AS _Reputation", "c_name AS _DisplayName"
         )
 
     def badges(self) -> DataFrame:
-        """Three classes; owners whose key is a multiple of seven have none."""
-        return (
-            self.table("orders")
-            .where("CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3 AND o_custkey % 7 <> 0")
-            .selectExpr(
-                "o_orderkey AS _Id",
-                "o_custkey AS _UserId",
-                "substr(o_orderpriority, 3) AS _Name",
-                f"date_format(o_orderdate, '{ISO}') AS _Date",
-                "CAST(substr(o_orderpriority, 1, 1) AS INT) AS _Class",
-                "o_orderkey % 5 = 0 AS _TagBased",
-            )
+        """A badge for every order, in three classes by priority."""
+        return self.table("orders").selectExpr(
+            "o_orderkey AS _Id",
+            "o_custkey AS _UserId",
+            "substr(o_orderpriority, 3) AS _Name",
+            f"date_format(o_orderdate, '{ISO}') AS _Date",
+            "1 + CAST(substr(o_orderpriority, 1, 1) AS INT) % 3 AS _Class",
+            "o_orderkey % 5 = 0 AS _TagBased",
         )
 
     def _answer_rows(self) -> DataFrame:
         return (
-            self.spread("lineitem", "l_orderkey")
+            self.table("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_partkey").alias("owner"),
@@ -89,24 +77,15 @@ class Community:
         )
 
     def _tag_strings(self) -> DataFrame:
-        """The first five part names or types of each order, in order of name."""
+        """All part names of each order, and the type on its first line, in order of name."""
         parts = self.table("part").selectExpr("p_partkey AS l_partkey", "p_name", "p_type")
         kinds = "CASE WHEN l_linenumber = 1 THEN lower(p_type) END"
-        tags = (
-            self.spread("lineitem", "l_orderkey")
-            .join(parts, "l_partkey")
-            .selectExpr(
-                "l_orderkey", f"explode(array_compact(array(replace(p_name, ' ', '-'), {kinds}))) AS tag"
-            )
-            .distinct()
+        tags = self.table("lineitem").join(parts, "l_partkey").selectExpr(
+            "l_orderkey", f"explode(array_compact(array(replace(p_name, ' ', '-'), {kinds}))) AS tag"
+        )
+        return tags.groupBy("l_orderkey").agg(
+            F.expr("concat('<', array_join(array_sort(collect_set(tag)), '><'), '>') AS _Tags")
         )
-        in_order = "OVER (PARTITION BY l_orderkey ORDER BY tag)"
-        following = ", ".join(f"lead(tag, {i}) {in_order}" for i in range(1, TAGS_PER_QUESTION))
-        return tags.selectExpr(
-            "l_orderkey",
-            f"row_number() {in_order} AS place",
-            f"concat('<', concat_ws('><', tag, {following}), '>') AS _Tags",
-        ).where("place = 1").drop("place")
 
     def questions(self, with_tags: bool = False) -> DataFrame:
         """Questions; the tag column, which costs a join, only where a query reads it."""
@@ -133,19 +112,19 @@ class Community:
         return self.questions(with_tags).unionByName(self.answers(), allowMissingColumns=True)
 
     def texts(self) -> DataFrame:
-        """Questions with title, body and tags from the documents; every third has code."""
+        """Questions with title, body and tags from the documents; the last quarter of every third is code."""
         cut = "CAST(floor(n_chars * 3 / 4) AS INT)"
-        code = f"concat('<pre><code>', substring(text, {cut} + 1), '</code></pre>')"
-        return self.spread("documents", "doc_id").join(self.table("labels"), "doc_id", "left").selectExpr(
+        rest = f"substring(text, {cut} + 1)"
+        ending = f"CASE WHEN doc_id % 3 = 0 THEN concat('<pre><code>', {rest}, '</code></pre>') ELSE concat('<p>', {rest}, '</p>') END"
+        return self.table("documents").join(self.table("labels"), "doc_id", "left").selectExpr(
             "doc_id AS _Id",
             f"{QUESTION} AS _PostTypeId",
             f"CASE WHEN quality = 1 THEN doc_id + {ANSWER_ID_BASE} END AS _AcceptedAnswerId",
             f"{ASKED_TEXT} AS _CreationDate",
             "CAST(n_chars % 41 - 10 AS INT) AS _Score",
             "CAST(n_chars * 3 AS INT) AS _ViewCount",
-            f"concat('<p>', substring(text, 1, {cut}), '</p>', CASE WHEN doc_id % 3 = 0 THEN {code} ELSE '' END)"
-            " AS _Body",
-            "substring(translate(text, '\\n', ' '), 1, 60) AS _Title",
+            f"concat('<p>', substring(text, 1, {cut}), '</p>', {ending}) AS _Body",
+            "substring_index(text, '\\n', 1) AS _Title",
             "concat('<', lang, '><', source, '>') AS _Tags",
             "CASE WHEN quality IS NULL THEN 0 ELSE 1 + toxic END AS _AnswerCount",
             "CAST(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END AS INT) AS _CommentCount",
@@ -171,14 +150,13 @@ class Community:
     def lexicon(self) -> DataFrame:
         """Word valences around zero from the quality labels of the documents that use a word."""
         used = (
-            self.spread("documents", "doc_id")
+            self.table("documents")
             .join(self.table("labels"), "doc_id")
             .select("quality", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
         )
         return (
             used.groupBy("term")
             .agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
-            .where("n >= 5")
             .selectExpr("term", "good * 2.0D / n - 1.7D AS valence")
         )
 
@@ -212,6 +190,9 @@ class Community:
             "*",
             "_Reputation % 97 AS _Views",
             "_Reputation % 31 AS _UpVotes",
+            "_Reputation % 13 AS _DownVotes",
+            "format_string('%04d-01-02T03:04:05.678', 2008 + _Id % 10) AS _CreationDate",
+            "CASE WHEN _Id % 3 <> 0 THEN '2021-02-03T04:05:06.789' END AS _LastAccessDate",
             "concat('<b>', _DisplayName, '</b> & \"more\"') AS _AboutMe",
         )
 

@@ -41,6 +41,29 @@ def test_profiles_equal_distance_rows(spark):
         assert r["s"] == -int((difference**2).sum())
 
 
+def test_profile_edges_are_all_pairs_with_a_shared_neighbour(spark):
+    names = [f"rod-{i:02d}" for i in range(20)] + ["red", "zebra", "quartz"]
+    tags = tag_frame(spark, names)
+    pairs = affinity.similar_tags(tags, 2)
+    edges = affinity.profile_similarity(tags, pairs, 2)
+    halves = {r["Tag"]: r["half"] for r in affinity.profile_halves(tags, pairs, 2).collect()}
+    rows = np.array([[min(edit_distance(a, b), 3) for b in names] for a in names])
+    dense = -((rows[:, None, :] - rows[None, :, :]) ** 2).sum(-1).astype(float)
+    found = {(r["i"], r["k"]): r["s"] for r in edges.collect()}
+    for i, a in enumerate(names):
+        for k, b in enumerate(names):
+            if i != k:
+                assert found.get((a, b), halves[a] + halves[b]) == dense[i, k]
+    assert affinity.median_similarity(edges, affinity.profile_halves(tags, pairs, 2)) == np.median(dense)
+
+
+def test_median_of_fractions(spark):
+    pairs = [("a", "b", -0.9), ("a", "c", -0.8), ("b", "c", -0.7)]
+    both = spark.createDataFrame(pairs + [(k, i, s) for i, k, s in pairs], "i STRING, k STRING, s DOUBLE")
+    halves = spark.createDataFrame([(t, -5.0) for t in "abc"], "Tag STRING, half DOUBLE")
+    assert affinity.median_similarity(both, halves) == -0.7
+
+
 def dense_affinity(s, damping=0.5, stable=15, limit=200):
     """Affinity propagation on a full matrix, after Frey and Dueck (2007)."""
     n = len(s)
@@ -102,8 +125,9 @@ def test_affinity_equals_dense_matrix(spark):
 
 def test_median_counts_absent_pairs(spark):
     edges = spark.createDataFrame([("a", "b", -1), ("b", "a", -1)], "i STRING, k STRING, s INT")
-    assert affinity.median_similarity(edges, 2, -3.0) == np.median([0, 0, -1, -1])
-    assert affinity.median_similarity(edges, 5, -3.0) == -3.0
+    halves = spark.createDataFrame([(t, -1.5) for t in "abcde"], "Tag STRING, half DOUBLE")
+    assert affinity.median_similarity(edges, halves.where("Tag <= 'b'")) == np.median([0, 0, -1, -1])
+    assert affinity.median_similarity(edges, halves) == -3.0
 
 
 def test_weighted_clusters(spark):
