@@ -12,7 +12,7 @@ work in each step.
 Packing runs where the scan has put the documents: nothing is shuffled, and a task holds at most ``WAITING`` waiting pieces
 besides its current batch. A sequence's id is the task's number and a counter, so a task that is run again gives the same rows.
 
-Token ids come from a tokenizer file, word by word with a bounded cache: its splitting never crosses white space, so words
+Token ids come from a tokenizer file, piece by piece with a bounded memory: its splitting never crosses white space, so what stands
 between blanks can be encoded alone. Every document ends with ``END_ID``.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is carried; repeated rows are packed each; very long texts
@@ -22,6 +22,7 @@ are cut into windows; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 8 * WINDOW
 WAITING = 512
-CACHE = 400_000
+CACHE = 600_000
 
 PIECES = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, "
@@ -54,26 +55,58 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Text of these characters, in lower case, is split as the tokenizer splits it: the pattern below is its own, over letters of
+#: one code point that neither composing nor lower-casing can change otherwise.
+SIMPLE = re.compile(r"[\n !-~\u00c0-\u012f\u0131-\u017f]*")
+PIECE = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\n a-z0-9\u00df-\u00f6\u00f8-\u017f]+"
+)
+SPECIAL = "<|"
+
+
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit numbers."""
+    """A function from texts to their ids as little-endian unsigned 32-bit numbers.
+
+    A text is cut into pieces (a run of letters, a digit, a run of marks), or between blanks where it holds other
+    characters, and a bounded memory keeps the ids of each, so that the tokenizer sees a piece once.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
+    known: dict[str, bytes] = {}
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)  # ids that end a piece
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def simple(text: str) -> bool:
+        return SIMPLE.fullmatch(text) is not None and SPECIAL not in text
+
+    def parts_of(text: str) -> list[str]:
+        if simple(text):
+            return PIECE.findall(text.lower())
+        words = text.replace("\n", " ").split(" ")
+        return [p for w in words for p in (PIECE.findall(w.lower()) if simple(w) else (w,))]
+
+    def learn(new: set[str], rest: list[str]) -> None:
+        pieces = list(new.difference(rest))
+        for at in range(0, len(pieces), 1_000):  # each is one run for the tokenizer: encode many, cut at the ends
+            some = pieces[at : at + 1_000]
+            ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            flat, cuts = ids.tobytes(), ((np.nonzero(ends[ids])[0] + 1) * 4).tolist()
+            known.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        made = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, made, strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
+        split = [parts_of(t) for t in texts]
+        plain = all(map(simple, texts))
+        used = set().union(*split)
+        new = used.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
-            known[""] = b""
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            made = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, made, strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+            new = used
+        learn(new, [] if plain else [p for p in new if not simple(p)])
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     return encode
 
@@ -189,8 +222,8 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> Dat
         encode, packer = encoder(path), Packer(TaskContext.get().partitionId())
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     packer.add(doc_id, ids + end)
