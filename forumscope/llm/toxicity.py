@@ -2,14 +2,14 @@
 
 The lexicon is learned from labelled training documents: words that toxic ones use far more, and word beginnings that do, for languages that
 vary the ending. Every word of every text runs against the trie. A word reaches a term exactly, begins with an open term, or
-comes within one edit of a term of five letters or more: the automaton of the word, kept as two bit masks of positions
+comes within one edit of one of the ``FUZZY_TERMS`` heaviest terms of five letters or more: the automaton of the word, kept as two bit masks of positions
 reached with no and with one edit, walks the trie and leaves a branch as soon as both are empty. A hit between quotation marks
 in its window of five words counts as quoted, apart from open abuse. A logistic model over the hits (strongest, number, share of
 words; exact, begun, misspelled; quoted or not) gives the score.
 
 Training uses at most ``FIT_ROWS`` labelled documents, the first by a hash of their ids, two thirds for the lexicon and one
 for the model, and none whose crc32(doc_id) mod 4 is 2. Everything else covers all documents. The lexicon holds at most
-``TERMS`` terms, the most telling ones: a bound of the model, not of the data it scores.
+``TERMS`` terms, the most telling ones that at least ``MIN_SHARE`` of the toxic documents use: a bound of the model, not of the data it scores.
 
 Defined results: a null, empty or blank text has no hits and the model's score for that; a null doc_id is never labelled and is not held
 out; several labels of a document count as toxic if one is; without training labels of both kinds every score is the share of toxic
@@ -29,7 +29,8 @@ from forumscope.llm.sitequality import fit_logistic
 
 FIT_ROWS = 24_000
 TERMS = 4_000
-MIN_TOXIC = 2
+MIN_TOXIC, MIN_SHARE = 2, 0.004
+FUZZY_TERMS = 256
 MIN_WEIGHT = 2.5
 PREFIX = (4, 5, 6)
 FUZZY_LETTERS = 5
@@ -46,20 +47,38 @@ EXACT, BEGUN, FUZZY = 0, 1, 2
 
 
 class Trie:
-    """Terms by letter; a node may end a whole term, an open one (a beginning), or both, with its weight."""
+    """Terms by letter; a node may end a whole term, an open one (a beginning), or both, with its weight.
+
+    The heaviest whole terms of five letters or more have a second trie, for the automata.
+    """
 
     def __init__(self, terms: Iterable[tuple[str, int, float]]):
         self.root: dict = {}
-        self.near: set[tuple[int, str]] = set()
-        for term, kind, weight in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[kind] = weight
-            if kind == WHOLE and len(term) >= FUZZY_LETTERS:
-                half = 3 if len(term) > FUZZY_LETTERS else 2
-                for size in (len(term) - 1, len(term), len(term) + 1):  # one edit leaves one end as it is
-                    self.near |= {(size, term[:half]), (size, "$" + term[-half:])}
+        self.fuzzy_root: dict = {}
+        self.halves: set[tuple[int, bool, str]] = set()
+        fuzzy = 0
+        for term, kind, weight in sorted(terms, key=lambda t: (-t[2], t[0])):
+            self._add(self.root, term, kind, weight)
+            if kind == WHOLE and len(term) >= FUZZY_LETTERS and fuzzy < FUZZY_TERMS:
+                fuzzy += 1
+                self._add(self.fuzzy_root, term, kind, weight)
+                half = len(term) // 2  # one edit leaves one of the halves as it is, at its end of the word
+                self.halves |= {(len(term), True, term[:half]), (len(term), False, term[half:])}
+
+    @staticmethod
+    def _add(node: dict, term: str, kind: int, weight: float) -> None:
+        for c in term:
+            node = node.setdefault(c, {})
+        node[kind] = weight
+
+    def may_be_near(self, word: str) -> bool:
+        """False only if no term is within one edit."""
+        size = len(word)
+        return any(
+            (n, True, word[: n // 2]) in self.halves or (n, False, word[size - n + n // 2 :]) in self.halves
+            for n in (size - 1, size, size + 1)
+            if n >= FUZZY_LETTERS
+        )
 
     def exact(self, word: str) -> tuple[float, int] | None:
         """The heaviest term that the word is or begins with."""
@@ -77,8 +96,7 @@ class Trie:
     def fuzzy(self, word: str) -> float | None:
         """The heaviest whole term within one edit, by walking the trie with the word's automaton."""
         size = len(word)
-        ends = ((size, word[:2]), (size, word[:3]), (size, "$" + word[-2:]), (size, "$" + word[-3:]))
-        if not any(e in self.near for e in ends):
+        if not self.may_be_near(word):
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -86,7 +104,7 @@ class Trie:
         accept = 1 << size
         best = None
         # A state is two masks: positions of the word reached with no edit, and with at most one.
-        stack = [(self.root, 1, 0b11, 0)]
+        stack = [(self.fuzzy_root, 1, 0b11, 0)]
         while stack:
             node, clean, edited, depth = stack.pop()
             if depth >= FUZZY_LETTERS and edited & accept and WHOLE in node and (best is None or node[WHOLE] > best):
@@ -177,7 +195,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, int,
     told = (
         seen.select(F.col("word").alias("term"), F.lit(WHOLE).alias("kind"), "t", "n")
         .union(begun)
-        .where(F.col("t") >= MIN_TOXIC)
+        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic))
         .withColumn("weight", weight)
         .where(F.col("weight") >= MIN_WEIGHT)
     )
