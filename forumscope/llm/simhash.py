@@ -39,6 +39,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 FULL = (1 << 64) - 1
+TASK_PRINTS = 10_000  # 196 keys each: what a task combines fits memory
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -125,7 +126,7 @@ def balls(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links a, b whose components are those of all fingerprints at three or fewer differing bits."""
-    keys = screen_keys(prints)
+    keys = screen_keys(prints.repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp"))
     shared = keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n"))
     shared = stored(shared.where("n > 1"), "simhash-keys")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
