@@ -16,7 +16,7 @@ of starts, and the context that these windows cover.
 4. A leading token with more than ``CROWD`` different contexts would overfill its bucket. Its windows are compared across
    all buckets instead, as rows of window hashes, counted with a combine before the shuffle.
 
-A removed interval is a row; texts move only if the intervals are too large to broadcast.
+A removed interval is a row; texts move twice, to the contexts that are compared and to the intervals that go, at every size alike.
 
 Defined results: a null text has no bytes; texts shorter than a window keep everything; windows never cross documents, overlaps count, and
 everything is judged on the input; a repeated row is another place for each of its strings; rows with one doc_id and different texts
@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forumscope.llm.common import map_arrow, small, stored, table
+from forumscope.llm.common import map_arrow, stored, table
 
 LENGTH = 400
 TOKEN = 32
@@ -165,7 +165,7 @@ def context_bytes(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     places = contexts.groupBy(F.col("row").alias("_row")).agg(
         F.collect_list(F.struct("at", "first", "last", "single", "crowded")).alias("places")
     )
-    found = docs.join(small(places, 16 + 16 * F.size("places")), F.col("row") == F.col("_row"))
+    found = docs.join(places, F.col("row") == F.col("_row"))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -302,7 +302,7 @@ def crowd_intervals(contexts: DataFrame) -> DataFrame:
     windows = map_arrow(contexts.select("row", "first", "before", "suffix"), "row bigint, low int, a bigint, b bigint", make)
     windows = stored(windows, "suffix-windows")
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(small(twice), ["a", "b"], "left_semi").select("row", "low", (F.col("low") + LENGTH).alias("high"))
+    return windows.join(twice, ["a", "b"], "left_semi").select("row", "low", (F.col("low") + LENGTH).alias("high"))
 
 
 def intervals(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -315,11 +315,11 @@ def intervals(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         "suffix-contexts",
     )
     copied = contexts.where("n > 1").select(F.col("token").alias("_t"), F.col("context").alias("_c"))
-    whole = sampled.join(small(copied), (F.col("token") == F.col("_t")) & (F.col("context") == F.col("_c")), "left_semi")
+    whole = sampled.join(copied, (F.col("token") == F.col("_t")) & (F.col("context") == F.col("_c")), "left_semi")
     whole = whole.select("row", F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high"))
     leads = contexts.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("_least"))
     leads = stored(leads.where("m > 1 and _least = 1").select("token", (F.col("m") > crowd).alias("crowded")), "suffix-leads")
-    partial = contexts.join(small(leads), "token").withColumn("single", F.col("n") == 1)
+    partial = contexts.join(leads, "token").withColumn("single", F.col("n") == 1)
     partial = stored(context_bytes(docs, partial), "suffix-bytes")
     found = whole.union(bucket_intervals(partial.where("not crowded")))
     crowded = partial.where("crowded")
@@ -334,7 +334,7 @@ def remove(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     rows = docs.select("doc_id", "text", _row().alias("row"))
     gone = intervals(rows.select("row", "text"), crowd).groupBy(F.col("row").alias("_row"))
     gone = stored(gone.agg(F.collect_list(F.struct("low", "high")).alias("gone")), "suffix-gone")
-    joined = rows.join(small(gone, 16 + 8 * F.size("gone")), F.col("row") == F.col("_row"), "left")
+    joined = rows.join(gone, F.col("row") == F.col("_row"), "left")
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
