@@ -422,3 +422,51 @@ def test_pipeline(spark, texts):
     rows = made.select("doc_id", "start", "length", "doc_tokens").collect()
     assert rows and {r["doc_id"] for r in rows} <= set(texts)
     assert all(r["start"] + r["length"] <= r["doc_tokens"] for r in rows)
+
+
+def test_lines_by_edit_similarity_alone(docs, texts):
+    """All pairs by edit distance, without a filter: nothing is joined that is not similar, and 0.95 of the links are found."""
+    nodes = {}
+    for doc_id in sorted(texts):
+        for number, line in enumerate(linededup.normalised(texts[doc_id])):
+            if line:
+                nodes.setdefault(line, []).append((doc_id, number))
+    lines = [line.decode() for line in nodes]
+    groups, pairs = Groups(len(lines)), []
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and linededup.similar(a, b):
+                groups.link(i, j)
+                pairs.append((i, j))
+    places = collections.defaultdict(list)
+    for i, line in enumerate(nodes):
+        places[groups.find(i)] += nodes[line]
+    gone = {p for group in places.values() for p in sorted(group)[1:]}
+    made = {(r["doc_id"], n) for r in linededup.repeats(docs).collect() for n in r["gone"]}
+    assert made <= gone
+    repeated = {p for where in nodes.values() for p in where[1:]}
+    assert len(gone - repeated) >= 40 and len(made - repeated) >= 0.95 * len(gone - repeated)
+
+
+def test_lines_with_a_small_edit_are_candidates(texts):
+    rng = random.Random(3)
+    lines = sorted({line for text in texts.values() for line in linededup.normalised(text) if line})
+    words = [w for line in lines[:400] for w in line.split()]
+
+    def one_word(line):
+        left = line.split()
+        left[rng.randrange(len(left))] = rng.choice(words)
+        return b" ".join(left)
+
+    for low, high in ((1, 5), (6, 10), (11, 20), (21, 40), (41, 80), (81, 200)):
+        chosen = [line for line in lines if low <= len(line.split()) <= high]
+        for edit in (one_word, lambda line: line + b"x", lambda line: one_word(one_word(line))):
+            tried = [(a, edit(a)) for a in rng.choices(chosen, k=300)]
+            tried = [(a, b) for a, b in tried if a != b and linededup.similar(a.decode(), b.decode())]
+            if len(tried) >= 30:
+                found = 0
+                for pair in tried:
+                    _, counts, keys = linededup.line_keys(list(pair))
+                    left, right = (list(enumerate(k.tolist())) for k in (keys[: counts[0]], keys[counts[0] :]))
+                    found += not {(n % 36, k) for n, k in left}.isdisjoint((n % 36, k) for n, k in right)
+                assert found / len(tried) >= 0.9, (low, high, found / len(tried))
