@@ -442,7 +442,8 @@ def test_lines_by_edit_similarity_alone(docs, texts):
     for i, line in enumerate(nodes):
         places[groups.find(i)] += nodes[line]
     gone = {p for group in places.values() for p in sorted(group)[1:]}
-    made = {(r["doc_id"], n) for r in linededup.repeats(docs).collect() for n in r["gone"]}
+    rows = {r["row"]: r["doc_id"] for r in linededup.with_row(docs).collect()}
+    made = {(rows[r["row"]], n) for r in linededup.repeats(docs).collect() for n in r["gone"]}
     assert made <= gone
     repeated = {p for where in nodes.values() for p in where[1:]}
     assert len(gone - repeated) >= 40 and len(made - repeated) >= 0.95 * len(gone - repeated)

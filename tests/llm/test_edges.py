@@ -99,6 +99,17 @@ def test_lines_of_repeated_rows(odd):
     assert (1, 3, 2) in made
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    same = "a line that several of the rows have as their second one"
+    others = ["quick brown foxes jump", "lazy dogs sleep all day", "seven ships left the port"]
+    for doc_id in (None, 1):
+        rows = [(doc_id, f"{first} at once\n{second}\n{first[::-1]}", "en", "a", 9) for first, second in zip(others, (same, same, "wholly different words stand here now"))]
+        made = {r["_text"] for r in linededup.without_repeats(documents(spark, rows)).select("_text").collect()}
+        assert rows[2][1] in made  # its second line is no repeat
+        assert sum(same in text for text in made) == 1
+        assert all(f"{first} at once" in "".join(made) and first[::-1] in "".join(made) for first in others)
+
+
 def test_vectors(spark):
     good = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
     bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [float("nan"), 1.0, 1.0]), (104, [1.0, float("inf"), 0.0]), (105, []), (106, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
