@@ -471,3 +471,28 @@ def test_lines_with_a_small_edit_are_candidates(texts):
                     left, right = (list(enumerate(k.tolist())) for k in (keys[: counts[0]], keys[counts[0] :]))
                     found += not {(n % 36, k) for n, k in left}.isdisjoint((n % 36, k) for n, k in right)
                 assert found / len(tried) >= 0.9, (low, high, found / len(tried))
+
+
+def test_near_copies_of_the_stage(spark, texts):
+    rng = random.Random(8)
+    words = [w for text in list(texts.values())[:50] for w in (text or "").split()]
+    rows = dict(enumerate(text for text in texts.values() if len((text or "").split()) <= 2000))
+    for _ in range(120):  # copies with some words changed, in chains
+        changed = rows[rng.choice(list(rows))].split()
+        for _ in range(rng.randint(1, 1 + len(changed) // 40)):
+            if changed:
+                changed[rng.randrange(len(changed))] = rng.choice(words)
+        rows[len(rows)] = " ".join(changed)
+    sets = {}
+    for doc_id, text in rows.items():
+        parts = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode().split()
+        sets[doc_id] = {b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+    groups = Groups(len(rows))
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                groups.link(a, b)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame).collect())
+    assert kept == sorted({groups.find(i) for i in rows}) and len(kept) <= len(rows) - 40
