@@ -66,10 +66,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int
     return w
 
 
+def _row() -> Column:
+    """A hash of what a row is judged by; nulls are marked, as the hash skips them."""
+    parts = ["doc_id", "source", "lang", "text"]
+    return F.xxhash64(*parts, *[F.col(c).isNull() for c in parts])
+
+
 def evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, source, lang and the log-odds that the text alone is good, without the base rate."""
-    carried = docs.select("doc_id", "source", "lang", "text")
-    made = measured(carried, "doc_id", "source", "lang").withColumn("_x", F.array(*features()))
+    """doc_id, source, lang, row and the log-odds that the text alone is good, without the base rate."""
+    carried = docs.select("doc_id", "source", "lang", "text", _row().alias("row"))
+    made = measured(carried, "doc_id", "source", "lang", "row").withColumn("_x", F.array(*features()))
     made = stored(made.drop(*MEASURES), "quality-form")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.avg("quality").alias("_y")
@@ -104,8 +110,8 @@ def _strength(sites: DataFrame, rate: str) -> float:
     return float(np.clip(1 / between - 1, MIN_STRENGTH, MAX_STRENGTH))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, evidence, host_rate, path_rate, posterior, kept."""
+def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: row, doc_id, evidence, host_rate, path_rate, posterior, kept."""
     scored = stored(evidence(docs, labels, fit_rows), "quality-evidence")
     scored = scored.withColumn("_good", 1 / (1 + F.exp(-F.col("evidence"))))
     paths = scored.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("_good").alias("good"))
@@ -136,16 +142,21 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thr
         .withColumn("path_rate", F.greatest(F.least(path, F.lit(0.999)), F.lit(0.001)))
         .withColumn("posterior", 1 / (1 + F.exp(-odds)))
         .withColumn("kept", F.col("posterior") >= threshold)
-        .select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
+        .select("row", "doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
     )
 
 
+def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, evidence, host_rate, path_rate, posterior, kept."""
+    return judged(docs, labels, fit_rows, threshold).drop("row")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; of rows that share a doc_id all go if one is rejected."""
-    rejected = posteriors(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents that are kept, with all their columns; each row is decided by itself, whatever other rows share its doc_id."""
+    rejected = judged(docs, labels).where(~F.col("kept")).select(F.col("row").alias("_gone")).distinct()
     rejected = small(stored(rejected, "quality-rejected"))
-    rows = docs.select(packed(docs))
-    return rows.join(rejected, F.col("_row.doc_id").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    rows = docs.select(packed(docs), _row().alias("_id"))
+    return rows.join(rejected, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op7_quality(spark, folder: str) -> DataFrame:

@@ -110,6 +110,24 @@ def test_lines_of_rows_that_share_an_id(spark):
         assert all(f"{first} at once" in "".join(made) and first[::-1] in "".join(made) for first in others)
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    texts = [WORDS, "a wholly different text about ships that leave the port at night", "nothing of that but seven dogs asleep in the sun", WORDS]
+    for doc_id in (None, 1):
+        rows = [(doc_id, text, "en", "a", 9) for text in texts]
+        assert sorted(r["text"] for r in simhash.keep_one(documents(spark, rows)).collect()) == sorted(set(texts))
+
+
+def test_quality_of_rows_that_share_an_id(spark):
+    good = [" ".join([WORDS, "and the man said that it was one of the best days of the year", str(i)]) for i in range(30)]
+    bad = [f"$$$ ### !!! {i} @@@ $$$ %%% ###" for i in range(30)]
+    rows = [(i, text, "en", "a", 9) for i, text in enumerate(good[:20] + bad[:20])]
+    known = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    for doc_id in (None, 99):
+        docs = documents(spark, rows + [(doc_id, text, "en", "a", 9) for text in good[20:] + bad[20:]])
+        kept = {r["text"] for r in sitequality.keep_good(docs, known).collect()}
+        assert set(good) <= kept and kept.isdisjoint(bad)
+
+
 def test_vectors(spark):
     good = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
     bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [float("nan"), 1.0, 1.0]), (104, [1.0, float("inf"), 0.0]), (105, []), (106, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
