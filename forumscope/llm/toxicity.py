@@ -2,14 +2,15 @@
 
 The lexicon is learned from labelled training documents: words that toxic ones use far more, and word beginnings that do, for languages that
 vary the ending. Every word of every text runs against the trie. A word reaches a term exactly, begins with an open term, or
-comes within one edit of one of the ``FUZZY_TERMS`` heaviest terms of five letters or more: the automaton of the word, kept as two bit masks of positions
+comes within one edit of a whole term of five letters or more: the automaton of the word, kept as two bit masks of positions
 reached with no and with one edit, walks the trie and leaves a branch as soon as both are empty. A hit between quotation marks
 in its window of five words counts as quoted, apart from open abuse. A logistic model over the hits (strongest, number, share of
 words; exact, begun, misspelled; quoted or not) gives the score.
 
 Training uses at most ``FIT_ROWS`` labelled documents, the first by a hash of their ids, two thirds for the lexicon and one
 for the model, and none whose crc32(doc_id) mod 4 is 2. Everything else covers all documents. The lexicon holds at most
-``TERMS`` terms, the most telling ones that at least ``MIN_SHARE`` of the toxic documents use: a bound of the model, not of the data it scores.
+``TERMS`` terms, the most telling ones whose use in toxic documents is no chance: by the bound of Chernoff, fewer than one of all words seen would
+be taken if no word told anything. That is a bound of the model, not of the data it scores.
 
 Defined results: a null, empty or blank text has no hits and the model's score for that; a null doc_id is never labelled and is not held
 out; several labels of a document count as toxic if one is; without training labels of both kinds every score is the share of toxic
@@ -22,15 +23,14 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forumscope.llm.common import map_arrow, small, stable_hash, stored, table
 from forumscope.llm.sitequality import fit_logistic
 
 FIT_ROWS = 24_000
 TERMS = 4_000
-MIN_TOXIC, MIN_SHARE = 2, 0.004
-FUZZY_TERMS = 256
+MIN_TOXIC = 2
 MIN_WEIGHT = 2.5
 PREFIX = (4, 5, 6)
 FUZZY_LETTERS = 5
@@ -46,24 +46,25 @@ WHOLE, OPEN = 0, 1
 EXACT, BEGUN, FUZZY = 0, 1, 2
 
 
+def _without_a_letter(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 class Trie:
     """Terms by letter; a node may end a whole term, an open one (a beginning), or both, with its weight.
 
-    The heaviest whole terms of five letters or more have a second trie, for the automata.
+    The whole terms of five letters or more have a second trie, for the automata.
     """
 
     def __init__(self, terms: Iterable[tuple[str, int, float]]):
         self.root: dict = {}
         self.fuzzy_root: dict = {}
-        self.halves: set[tuple[int, bool, str]] = set()
-        fuzzy = 0
+        self.shorter: set[str] = set()
         for term, kind, weight in sorted(terms, key=lambda t: (-t[2], t[0])):
             self._add(self.root, term, kind, weight)
-            if kind == WHOLE and len(term) >= FUZZY_LETTERS and fuzzy < FUZZY_TERMS:
-                fuzzy += 1
+            if kind == WHOLE and len(term) >= FUZZY_LETTERS:
                 self._add(self.fuzzy_root, term, kind, weight)
-                half = len(term) // 2  # one edit leaves one of the halves as it is, at its end of the word
-                self.halves |= {(len(term), True, term[:half]), (len(term), False, term[half:])}
+                self.shorter |= {term, *_without_a_letter(term)}
 
     @staticmethod
     def _add(node: dict, term: str, kind: int, weight: float) -> None:
@@ -73,12 +74,8 @@ class Trie:
 
     def may_be_near(self, word: str) -> bool:
         """False only if no term is within one edit."""
-        size = len(word)
-        return any(
-            (n, True, word[: n // 2]) in self.halves or (n, False, word[size - n + n // 2 :]) in self.halves
-            for n in (size - 1, size, size + 1)
-            if n >= FUZZY_LETTERS
-        )
+        # one edit apart, one is the other without a letter, or both without one are equal
+        return word in self.shorter or not self.shorter.isdisjoint(_without_a_letter(word))
 
     def exact(self, word: str) -> tuple[float, int] | None:
         """The heaviest term that the word is or begins with."""
@@ -174,6 +171,13 @@ def training(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     return docs.select("doc_id", "text").join(small(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", "part")
 
 
+def _surprise(share: float) -> Column:
+    """Minus the log of a bound on the chance that t or more of t + n documents are toxic, if a ``share`` of all is; for t above its share."""
+    both = F.col("t") + F.col("n")
+    part = lambda count, expected: F.when(F.col(count) > 0, F.col(count) * F.log(F.col(count) / (both * max(expected, 1e-12)))).otherwise(0.0)
+    return part("t", share) + part("n", 1 - share)
+
+
 def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, int, float]]:
     """Terms with their kind and weight: the log of how much more often toxic documents have them."""
     sizes = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).first()
@@ -195,7 +199,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, int,
     told = (
         seen.select(F.col("word").alias("term"), F.lit(WHOLE).alias("kind"), "t", "n")
         .union(begun)
-        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic))
+        .where((F.col("t") >= MIN_TOXIC) & (_surprise(toxic / max(toxic + clean, 1)) >= float(np.log(max(seen.count(), 1)))))
         .withColumn("weight", weight)
         .where(F.col("weight") >= MIN_WEIGHT)
     )

@@ -496,3 +496,29 @@ def test_near_copies_of_the_stage(spark, texts):
     frame = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
     kept = sorted(r["doc_id"] for r in simhash.keep_one(frame).collect())
     assert kept == sorted({groups.find(i) for i in rows}) and len(kept) <= len(rows) - 40
+
+
+def test_misspellings_of_light_terms():
+    rng = random.Random(12)
+    terms = {"".join(rng.choices("abcdefgh", k=rng.randint(5, 9))): rng.random() for _ in range(900)}
+    trie = toxicity.Trie([(t, toxicity.WHOLE, w) for t, w in terms.items()])
+    for term in sorted(terms, key=terms.get)[:300]:  # the lightest
+        at = rng.randrange(len(term))
+        for word in (term[:at] + "x" + term[at:], term[:at] + "x" + term[at + 1 :], term[:at] + term[at + 1 :]):
+            assert trie.fuzzy(word) == max(w for t, w in terms.items() if abs(len(t) - len(word)) < 2 and distance(t, word) <= 1)
+
+
+def test_lexicon_keeps_rare_terms_that_are_no_chance(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    rows = []
+    for i in range(12000):
+        text = rng.choices(words, k=10)
+        bad = i % 4 == 0
+        if bad and i < 40:  # ten of three thousand
+            text.append("rotznase")
+        rows.append((" ".join(text), int(bad)))
+    frame = spark.createDataFrame(rows, "text string, toxic int")
+    assert "rotznase" not in {t for t, _, _ in toxicity.learn_lexicon(frame.where("toxic = 0 or text not like '%rotznase%'"))}
+    whole = {t for t, kind, _ in toxicity.learn_lexicon(frame) if kind == toxicity.WHOLE}
+    assert whole == {"rotznase"}
