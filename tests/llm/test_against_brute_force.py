@@ -522,3 +522,90 @@ def test_lexicon_keeps_rare_terms_that_are_no_chance(spark):
     assert "rotznase" not in {t for t, _, _ in toxicity.learn_lexicon(frame.where("toxic = 0 or text not like '%rotznase%'"))}
     whole = {t for t, kind, _ in toxicity.learn_lexicon(frame) if kind == toxicity.WHOLE}
     assert whole == {"rotznase"}
+
+
+def plain_takes(left):
+    """How often each document is taken whole; ``left``: doc_id to source and words."""
+    sizes = collections.Counter()
+    for source, n in left.values():
+        sizes[source] += n
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    by_cap = sorted(order, key=lambda s: 3 * sizes[s] / weight[s])
+    total = sum(sizes.values())
+    level = max(
+        (total - sum(3 * sizes[s] for s in by_cap[:k])) / sum(weight[s] for s in by_cap[k:]) for k in range(len(by_cap))
+    )
+    takes = {}
+    for source in order:
+        quota = int(min(level * weight[source], 3 * sizes[source]) + 0.5)
+        whole, rest = divmod(quota, sizes[source])
+        place = lambda d: int(hashlib.md5(f"17|{d}".encode()).hexdigest()[:15], 16)
+        for doc_id in sorted((d for d in left if left[d][0] == source), key=place):
+            size = left[doc_id][1]
+            takes[doc_id] = whole + (size > 0 and 2 * max(0, min(size, rest)) >= size) if size else 0
+            rest -= size
+    return takes
+
+
+def test_pipeline_against_a_plain_chain(spark, docs, labels):
+    from tokenizers import Tokenizer
+
+    stages, tables, now = dict(corpus_pipeline.STAGES), {}, docs
+    for name, stage in stages.items():
+        now = tables[name] = corpus_pipeline.stored(stage(spark, now, SMALL), f"plain-{name}")
+    judged = sitequality.posteriors(docs, labels).collect()
+    good = {r["doc_id"] for r in judged if r["posterior"] >= 0.5}
+    rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in good}
+    assert sorted(r["doc_id"] for r in tables["quality"].collect()) == sorted(rows)
+
+    nodes = {}
+    for doc_id in sorted(rows):
+        for number, line in enumerate(linededup.normalised(rows[doc_id]["text"])):
+            if line:
+                nodes.setdefault(line.decode(), []).append((doc_id, number))
+    lines, groups = list(nodes), Groups(len(nodes))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and linededup.similar(a, b):
+                groups.link(i, j)
+    places = collections.defaultdict(list)
+    for i, line in enumerate(lines):
+        places[groups.find(i)] += nodes[line]
+    gone = {p for group in places.values() for p in sorted(group)[1:]}
+    texts = {}
+    for doc_id, r in rows.items():
+        text = "\n".join(x for n, x in enumerate(r["text"].split("\n")) if (doc_id, n) not in gone)
+        if text == r["text"] or text.split():
+            texts[doc_id] = text
+    assert {r["doc_id"]: r["text"] for r in tables["line_dedup"].collect()} == texts
+
+    ids, groups = sorted(texts), Groups(len(texts))
+    sets = []
+    for doc_id in ids:
+        parts = re.sub("[A-Z]", lambda m: m[0].lower(), texts[doc_id]).encode().split()
+        sets.append({b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))})
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                groups.link(i, j)
+    kept = {ids[groups.find(i)] for i in range(len(ids))}
+    assert sorted(r["doc_id"] for r in tables["near_dedup"].collect()) == sorted(kept)
+
+    left = {d: (rows[d]["source"], len(texts[d].encode().split())) for d in kept}
+    takes = plain_takes(left)
+    mixed = collections.Counter(r["doc_id"] for r in tables["mix_sources"].collect())
+    assert mixed == collections.Counter({d: n for d, n in takes.items() if n})
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokens = {d: [*tokenizer.encode(texts[d], add_special_tokens=False).ids, packing.END_ID] for d in mixed}
+    pieces = tables["pack_sequences"].collect()
+    assert {r["doc_id"] for r in pieces} == set(mixed)
+    covered = {d: np.zeros(len(t), int) for d, t in tokens.items()}
+    for r in pieces:
+        span = slice(r["start"], r["start"] + r["length"])
+        assert list(r["ids"]) == tokens[r["doc_id"]][span]
+        covered[r["doc_id"]][span] += 1
+    assert all((n == mixed[d]).all() for d, n in covered.items())
+    same = lambda df: sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in df.collect())
+    assert same(corpus_pipeline.run(spark, SMALL)) == same(tables["pack_sequences"])
