@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forumscope.llm import linededup, mixing, neighbours, packing, pii, rules, simhash, sitequality, suffixes, toxicity
+from forumscope.llm import (
+    linededup,
+    manifest,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    resampling,
+    rules,
+    simhash,
+    sitequality,
+    suffixes,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -19,8 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": suffixes.op8_suffix,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_resample": resampling.op11_resample,
+    "op12_manifest": manifest.op12_manifest,
 }
 
 SQL: dict[str, str] = {
     "op10_mixing": mixing.OP10_SQL,
+    "op11_resample": resampling.OP11_SQL,
+    "op12_manifest": manifest.OP12_SQL,
 }
