@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from forumscope.llm import (
     linededup,
     manifest,
+    minhash,
     mixing,
     neighbours,
     packing,
@@ -34,10 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10_mixing,
     "op11_resample": resampling.op11_resample,
     "op12_manifest": manifest.op12_manifest,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL: dict[str, str] = {
     "op10_mixing": mixing.OP10_SQL,
     "op11_resample": resampling.OP11_SQL,
     "op12_manifest": manifest.OP12_SQL,
+    "op13_minhash": minhash.OP13_SQL,
 }
