@@ -4,13 +4,14 @@ A document's set is its different five-word shingles; documents link at a Jaccar
 from the start, so copies cost a row each and no link. A node's signature holds the minima of 224 universal hash functions over its shingles; 32 bands of
 seven minima are its keys. Nodes at 0.85 share no key with a probability of 4e-6, nodes at 0.5 share one with 0.22.
 
-Candidates are never all pairs of a key. First every node is compared with one node of its key, the least in one of four orders, so that a
-large group meets a few different centres. What then lies in different components under one key goes on in rounds: a key takes 8 of its nodes as centres, then 64,
-then 512, chosen by a hash, and compares them with its nodes in other components, until it is all of one component or every node
-has been a centre. So nothing is capped: keys of unlike nodes are compared to the end, keys of like nodes fall together in the first rounds.
+First every node is compared with one node of its key, the least in one of four orders, so that a large group meets a few different centres;
+most keys are of one component then and done. The nodes of a key that is not are dealt over blocks of 128, and every two blocks of the key meet in one task, which compares nodes of
+different components and returns a spanning forest of the links: no pairs are ever rows, no task holds more than two blocks, and nothing is
+capped. (Nodes that share a key, and yet are of different components, have to be compared: that part of the work is of the second order in their
+number, in steps of blocks.)
 
 A pair is compared by its signatures (a byte of each minimum) first: it goes on unless the share of equal bytes is six standard
-deviations below 0.85. Then the two texts are fetched, and the link is confirmed on the full sets of shingles.
+deviations below 0.85. The link is confirmed on the full sets of shingles, as 64-bit hashes, made from the texts of candidates only.
 
 Defined results: a null, empty or wordless text has an empty set, no links, and its own doc_id as component_id; fewer than five words are one
 shingle; texts are whole whatever their length; repeated rows and rows that share a doc_id are a row each; a null doc_id is named only
@@ -19,7 +20,7 @@ if its whole component has none; an empty table gives an empty result; only ``do
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,7 @@ BANDS, ROWS = 32, 7
 SEED = 13
 CHUNK = 1024  # shingles that are hashed at once: their minima stay in the processor's cache
 ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)  # signed masks: four orders of the nodes
-WIDEN = 8  # centres of a key: 8, then 64, then 512
-HASH_BITS = 30
+BLOCK = 128  # nodes of a key that are compared with another such block in one task
 
 
 def _universal(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,11 @@ def shingle_list(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts, ends[shingle - 1 :] or ends[-1:])]
 
 
+def set_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingle_list(text, shingle)], dtype="<u8"))
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The minimum of every hash function over a set's hashes."""
     least = np.full(len(FACTORS), 0xFFFFFFFF, dtype=np.uint32)
@@ -81,10 +86,9 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     digest = xxhash.xxh64_intdigest
 
     def sketch(text: str | None) -> tuple[int, int | None, list[int] | None, bytes | None]:
-        found = shingle_list(text, shingle)
-        if not found:
+        hashes = set_hashes(text, shingle)
+        if not len(hashes):
             return 0, None, None, None
-        hashes = np.unique(np.array([digest(s) for s in found], dtype=np.uint64))
         least = signature(hashes)
         bands = least.reshape(BANDS, ROWS)
         keys = [digest(band.tobytes(), n) - (1 << 63) for n, band in enumerate(bands)]
@@ -102,53 +106,125 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_arrow(rows, f"doc_id {kind}, copy bigint, n_shingles bigint, node bigint, keys array<bigint>, bytes binary", make)
 
 
-@lru_cache(maxsize=256)
-def _full_set(text: str, shingle: int) -> frozenset[bytes]:
-    return frozenset(shingle_list(text, shingle))
+def agree(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, least: int) -> bool:
+    """Whether a pair links: by its signatures (x, y), then by its full sets of hashes, ascending (left, right)."""
+    small_, large = sorted((len(left), len(right)))
+    if 100 * small_ < percent * large or int((x == y).sum()) < least:
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= percent * (len(left) + len(right) - both)
 
 
-def similar(a: str, b: str, percent: int = PERCENT, shingle: int = SHINGLE) -> bool:
-    """Whether the sets' Jaccard similarity reaches the threshold."""
-    left, right = _full_set(a, shingle), _full_set(b, shingle)
-    both = len(left & right)
-    return 100 * both >= percent * (len(left) + len(right) - both)
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """node, bytes and the ascending hashes of its set, for the wanted nodes only. ``docs``: text, copy; ``nodes``: node, copy, bytes."""
+    places = stored(nodes.join(small(wanted), "node").select("node", "bytes", F.col("copy").alias("_copy")), "minhash-wanted")
+    texts = docs.join(small(places.select("_copy")), F.col("copy") == F.col("_copy"), "left_semi")
+    texts = texts.groupBy("copy").agg(F.min("text").alias("text")).join(places, F.col("copy") == F.col("_copy"))
 
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [set_hashes(t.as_py(), shingle).tobytes() for t in batch.column("text")]
+            return {"node": batch.column("node"), "bytes": batch.column("bytes"), "hashes": sets}
 
-def _both_sides(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """a, b and each column of either node, as a_x and b_x."""
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
-    return pairs
+        return work
 
+    return stored(map_arrow(texts.select("node", "bytes", "text"), "node bigint, bytes binary, hashes binary", make), "minhash-sets")
 
-def _where_arrow(rows: DataFrame, a: str, b: str, agree) -> DataFrame:
-    """a and b of the rows whose two values agree."""
+
+def verified(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link."""
+    for side in "ab":
+        pairs = pairs.join(sets.toDF(side, f"{side}_bytes", f"{side}_hashes"), side)
+    least = least_share(percent)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            kept = [agree(x.as_py(), y.as_py()) for x, y in zip(batch.column(a), batch.column(b), strict=True)]
-            found = batch.filter(pa.array(kept, pa.bool_()))
+            x, y = (_arrays(batch, f"{side}_bytes", np.uint8) for side in "ab")
+            left, right = (_arrays(batch, f"{side}_hashes", "<u8") for side in "ab")
+            found = batch.filter(pa.array([agree(*row, percent, least) for row in zip(x, y, left, right)], pa.bool_()))
             return {"a": found.column("a"), "b": found.column("b")}
 
         return work
 
-    return map_arrow(rows.select("a", "b", a, b), "a bigint, b bigint", make)
+    return map_arrow(pairs.select("a", "b", "a_bytes", "b_bytes", "a_hashes", "b_hashes"), "a bigint, b bigint", make)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) that link. ``docs``: text, copy; ``nodes``: node, copy, bytes. Only these nodes' texts are fetched."""
-    least = least_share(percent)
+def _arrays(batch: pa.RecordBatch, column: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_py(), kind) for v in batch.column(column)]
+
 
-    def alike(x: bytes, y: bytes) -> bool:
-        return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least
+class Block:
+    """The nodes of one pair of blocks of a key: links them as far as they join components that are still apart."""
 
-    likely = stored(_where_arrow(_both_sides(pairs, nodes, "bytes"), "a_bytes", "b_bytes", alike), "minhash-likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    places = stored(nodes.join(small(wanted), "node").select("node", F.col("copy").alias("_copy")), "minhash-wanted")
-    texts = docs.join(small(places), F.col("copy") == F.col("_copy")).groupBy("node").agg(F.min("text").alias("text"))
-    texts = stored(texts, "minhash-texts")
-    both = _both_sides(likely, texts, "text")
-    return stored(_where_arrow(both, "a_text", "b_text", lambda x, y: similar(x, y, percent, shingle)), "minhash-links")
+    def __init__(self, percent: int):
+        self.percent, self.least = percent, least_share(percent)
+        self.rows: list[tuple[int, int, bool, np.ndarray, np.ndarray]] = []  # node, root, second block, signature, hashes
+
+    def links(self, one: bool) -> list[tuple[int, int]]:
+        """A spanning forest of the links. ``one``: the two blocks are the same one."""
+        rows, found = self.rows, []
+        of = {root: root for _, root, *_ in rows}
+
+        def root_of(x: int) -> int:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        if len(of) < 2:
+            return found
+        prints = np.stack([r[3] for r in rows])
+        sizes = np.array([len(r[4]) for r in rows])
+        second = np.array([r[2] for r in rows])
+        for i, (node, root, side, _, hashes) in enumerate(rows):
+            to = np.arange(len(rows)) > i if one else second if not side else np.zeros(len(rows), bool)
+            to &= (100 * sizes >= self.percent * sizes[i]) & (100 * sizes[i] >= self.percent * sizes)
+            to = np.flatnonzero(to)
+            for j in to[(prints[to] == prints[i]).sum(axis=1) >= self.least].tolist():
+                x, y = root_of(root), root_of(rows[j][1])
+                if x != y and agree(prints[i], prints[j], hashes, rows[j][4], self.percent, self.least):
+                    of[max(x, y)] = min(x, y)
+                    found.append((node, rows[j][0]))
+        return found
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links between different components of a key. ``members``: key, node, root and n, the number of the key's nodes.
+
+    A key's nodes are dealt over blocks of about ``block`` by a hash, and every two blocks are compared in one task, which
+    returns a spanning forest: fewer links than nodes.
+    """
+    count = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), count.cast("bigint")).cast("int")
+    dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
+    low, high = F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high")
+    dealt = dealt.select("key", "node", "root", low, high, (F.col("_own") > F.col("_other")).alias("second"))
+    whole = dealt.join(sets, "node").select("key", "low", "high", "node", "root", "second", "bytes", "hashes")
+    together = whole.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, Block(percent)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
+
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")))
+            rest = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "second")))
+            prints, hashes = _arrays(batch, "bytes", np.uint8), _arrays(batch, "hashes", "<u8")
+            for key, row, x, h in zip(keys, rest, prints, hashes):
+                if key != at:
+                    if at:
+                        found += group.links(at[1] == at[2])
+                    at, group = key, Block(percent)
+                group.rows.append((*row, x, h))
+            yield out(found)
+        if at:
+            yield out(group.links(at[1] == at[2]))
+
+    return together.mapInArrow(run, "a bigint, b bigint")
 
 
 def _in_order(node: Column, key: Column) -> Column:
@@ -157,38 +233,22 @@ def _in_order(node: Column, key: Column) -> Column:
     return node.bitwiseXOR(mask)
 
 
-def links(docs: DataFrame, made: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, made: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """Links a, b with the components of all candidate pairs that are similar. ``made``: ``sketches`` of ``docs``; ``nodes``: one row a node."""
     keyed = made.where("node is not null").select("node", F.explode("keys").alias("key"))
     place = _in_order(F.col("node"), F.col("key"))
     shared = keyed.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     shared = stored(shared.where("first <> last").select("key", _in_order(F.col("first"), F.col("key")).alias("centre")), "minhash-keys")
     members = stored(keyed.join(small(shared), "key").distinct(), "minhash-members")
-
-    def as_pairs(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    pairs = as_pairs(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    tested = stored(pairs, "minhash-pairs")
-    found = verified(docs, nodes, tested, percent, shingle)
-    low, high = 0, WIDEN
-    while True:
-        roots = star_components(found)
-        rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        rooted = stored(rooted, "minhash-rooted")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("_one"), F.max("root").alias("_other"), F.count("*").alias("n"))
-        mixed = stored(mixed.where("_one <> _other").select("key", "n").where(F.col("n") > low), "minhash-mixed")
-        most = mixed.agg(F.max("n")).first()[0]
-        if most is None:
-            return found
-        rest = rooted.join(small(mixed), "key")
-        turn = F.pmod(F.xxhash64("node", "key"), F.lit(1 << HASH_BITS)) / F.lit(float(1 << HASH_BITS)) * F.col("n")
-        centres = rest.where((turn >= low) & (turn < high)).select("key", F.col("node").alias("a"), F.col("root").alias("_root"))
-        across = rest.withColumnRenamed("node", "b").join(centres, "key").where(F.col("root") != F.col("_root"))
-        fresh = stored(as_pairs(across.select("a", "b")).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        found = stored(found.union(verified(docs, nodes, fresh, percent, shingle)), "minhash-links")
-        tested = tested.union(fresh)
-        low, high = high, high * WIDEN
+    sets = full_sets(docs, nodes, members.select("node").distinct(), shingle)
+    pairs = members.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    star = stored(verified(sets, stored(pairs, "minhash-pairs"), percent), "minhash-links")
+    rooted = members.join(star_components(star), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "minhash-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_one"), F.max("root").alias("_other"), F.count("*").alias("n"))
+    mixed = stored(mixed.where("_one <> _other").where("n > 2").select("key", "n"), "minhash-mixed")
+    rest = rooted.join(small(mixed), "key")
+    return star.union(stored(block_links(rest, sets, percent, block), "minhash-links"))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
