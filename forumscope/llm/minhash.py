@@ -20,14 +20,13 @@ if its whole component has none; an empty table gives an empty result; only ``do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumscope.llm.common import map_arrow, small, stored, table
+from forumscope.llm.pairblocks import BLOCK, Forest, compared, dealt
 from forumscope.llm.stars import star_components
 
 SHINGLE = 5
@@ -36,7 +35,6 @@ BANDS, ROWS = 32, 7
 SEED = 13
 CHUNK = 1024  # shingles that are hashed at once: their minima stay in the processor's cache
 ORDERS = (0, -1, 0x5555555555555555, -0x5555555555555556)  # signed masks: four orders of the nodes
-BLOCK = 128  # nodes of a key that are compared with another such block in one task
 
 
 def _universal(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,78 +151,36 @@ def _arrays(batch: pa.RecordBatch, column: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(v.as_py(), kind) for v in batch.column(column)]
 
 
-class Block:
-    """The nodes of one pair of blocks of a key: links them as far as they join components that are still apart."""
-
-    def __init__(self, percent: int):
-        self.percent, self.least = percent, least_share(percent)
-        self.rows: list[tuple[int, int, bool, np.ndarray, np.ndarray]] = []  # node, root, second block, signature, hashes
-
-    def links(self, one: bool) -> list[tuple[int, int]]:
-        """A spanning forest of the links. ``one``: the two blocks are the same one."""
-        rows, found = self.rows, []
-        of = {root: root for _, root, *_ in rows}
+def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Links between different components of a key. ``members``: key, node, root and n, the number of the key's nodes.
 
-        def root_of(x: int) -> int:
-            while of[x] != x:
-                of[x] = of[of[x]]
-                x = of[x]
-            return x
+    Every pair of blocks returns a spanning forest: fewer links than nodes.
+    """
+    least = least_share(percent)
 
-        if len(of) < 2:
+    def make():
+        def find(rows: list[tuple], one: bool) -> list[tuple[int, int]]:
+            forest, found = Forest(r[3] for r in rows), []
+            if len(forest.of) < 2:
+                return found
+            prints = np.stack([np.frombuffer(r[4], np.uint8) for r in rows])
+            sets = [np.frombuffer(r[5], "<u8") for r in rows]
+            sizes = np.array([len(h) for h in sets])
+            second = np.array([r[1] for r in rows])
+            for i, row in enumerate(rows):
+                to = np.arange(len(rows)) > i if one else second & (not row[1])
+                to = np.flatnonzero(to & (100 * sizes >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes))
+                for j in to[(prints[to] == prints[i]).sum(axis=1) >= least].tolist():
+                    apart = forest.root(row[3]) != forest.root(rows[j][3])
+                    if apart and agree(prints[i], prints[j], sets[i], sets[j], percent, least):
+                        forest.join(row[3], rows[j][3])
+                        found.append((row[2], rows[j][2]))
             return found
-        prints = np.stack([r[3] for r in rows])
-        sizes = np.array([len(r[4]) for r in rows])
-        second = np.array([r[2] for r in rows])
-        for i, (node, root, side, _, hashes) in enumerate(rows):
-            to = np.arange(len(rows)) > i if one else second if not side else np.zeros(len(rows), bool)
-            to &= (100 * sizes >= self.percent * sizes[i]) & (100 * sizes[i] >= self.percent * sizes)
-            to = np.flatnonzero(to)
-            for j in to[(prints[to] == prints[i]).sum(axis=1) >= self.least].tolist():
-                x, y = root_of(root), root_of(rows[j][1])
-                if x != y and agree(prints[i], prints[j], hashes, rows[j][4], self.percent, self.least):
-                    of[max(x, y)] = min(x, y)
-                    found.append((node, rows[j][0]))
-        return found
-
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Links between different components of a key. ``members``: key, node, root and n, the number of the key's nodes.
+        return find
 
-    A key's nodes are dealt over blocks of about ``block`` by a hash, and every two blocks are compared in one task, which
-    returns a spanning forest: fewer links than nodes.
-    """
-    count = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), count.cast("bigint")).cast("int")
-    dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
-    low, high = F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high")
-    dealt = dealt.select("key", "node", "root", low, high, (F.col("_own") > F.col("_other")).alias("second"))
-    whole = dealt.join(sets, "node").select("key", "low", "high", "node", "root", "second", "bytes", "hashes")
-    together = whole.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, Block(percent)
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
-
-        for batch in batches:
-            found = []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high")))
-            rest = zip(*(batch.column(c).to_pylist() for c in ("node", "root", "second")))
-            prints, hashes = _arrays(batch, "bytes", np.uint8), _arrays(batch, "hashes", "<u8")
-            for key, row, x, h in zip(keys, rest, prints, hashes):
-                if key != at:
-                    if at:
-                        found += group.links(at[1] == at[2])
-                    at, group = key, Block(percent)
-                group.rows.append((*row, x, h))
-            yield out(found)
-        if at:
-            yield out(group.links(at[1] == at[2]))
-
-    return together.mapInArrow(run, "a bigint, b bigint")
+    placed = dealt(members, block).join(sets, "node")
+    return compared(placed, ("node", "root", "bytes", "hashes"), "a bigint, b bigint", make)
 
 
 def _in_order(node: Column, key: Column) -> Column:

@@ -18,21 +18,17 @@ linked fingerprints always share a key. Keys are counted (combined before the sh
 fingerprints is verified at once; only fingerprints with a key of three or more, the dense groups of near copies, emit their whole
 ball.
 
-``keep_one``, the stage of the pipeline, does not use these fingerprints. Its rule is an exact Jaccard similarity of at least 0.8 between
-the sets of five-word shingles. Texts share one of 20 MinHash keys of five minima each (0.9996 of pairs at 0.8 do, more above), and each
-pair is compared by its texts before it links; within a key first with the least text, then between components that are left.
+``keep_one``, the stage of the pipeline, keeps one row of each group of these links.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; a null doc_id has a
 fingerprint and its group's component_id, but is never a component_id unless the whole group has none; repeated rows
 are a row each here, and ``keep_one`` keeps one of them; it decides by row (doc_id and text), so different texts with one doc_id, or
-with none, stay apart; texts of fewer than five words are one shingle, and those without words are equal; an empty table gives an empty result; other columns are ignored, or
+with none, stay apart; an empty table gives an empty result; other columns are ignored, or
 carried by ``keep_one``.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,14 +36,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumscope.llm.common import map_arrow, packed, small, stored, table
 from forumscope.llm.components import components
-from forumscope.operators.joins import fits_broadcast, join_lookup
+from forumscope.operators.joins import fits_broadcast
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-NEAR_SHINGLE = 5
-NEAR = 0.8
-NEAR_KEYS, NEAR_MINIMA = 20, 5
 FULL = (1 << 64) - 1
 TASK_PRINTS = 10_000  # 196 keys each: what a task combines fits memory
 
@@ -94,18 +87,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return bit_majority(shingles(text, shingle))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint of every text as a signed 64-bit number."""
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """The carried columns (doc_id, if none is named) and the fingerprint of every text as a signed 64-bit number."""
+    carry = carry or ("doc_id",)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view(np.int64))}
+            return {c: batch.column(c) for c in carry} | {"fp": pa.array(prints.view(np.int64))}
 
         return work
 
-    return map_arrow(docs.select("doc_id", "text"), f"doc_id {kind}, fp bigint", make)
+    return map_arrow(docs.select(*carry, "text"), ", ".join([*kinds, "fp bigint"]), make)
 
 
 def _signed(n: int) -> int:
@@ -163,111 +157,17 @@ def groups(docs: DataFrame) -> DataFrame:
     linked = nodes.join(roots, "fp", "left").withColumn("_group", F.coalesce("root", F.xxhash64(F.col("fp"), F.lit(1))))
     least = linked.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return join_lookup(prints, stored(named, "simhash-names"), "fp", F.xxhash64("doc_id")).select(
-        "doc_id", "fp", "component_id"
-    )
-
-
-def _odd(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 31, NEAR_KEYS * NEAR_MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-FACTORS, FLIPS = _odd(3), _odd(4)
-
-
-def near_keys(hashes: np.ndarray) -> list[int]:
-    """The MinHash keys of a set of shingles; none for an empty set."""
-    least = np.full(len(FACTORS), 0xFFFFFFFF, dtype=np.uint32)
-    low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(low), 4096):
-        np.minimum(least, ((low[at : at + 4096, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
-    each = least.reshape(NEAR_KEYS, NEAR_MINIMA)
-    return [xxhash.xxh64_intdigest(k.tobytes(), n) - (1 << 63) for n, k in enumerate(each)] if len(hashes) else []
-
-
-@lru_cache(maxsize=256)
-def _shingle_set(text: str) -> frozenset[int]:
-    return frozenset(shingles(text, NEAR_SHINGLE).tolist())
-
-
-def near_copies(a: str, b: str) -> bool:
-    """Whether the Jaccard similarity of the sets of shingles is at least ``NEAR``."""
-    left, right = _shingle_set(a), _shingle_set(b)
-    if min(len(left), len(right)) < NEAR * max(len(left), len(right)) - 1e-9:
-        return False
-    both = len(left & right)
-    return both >= NEAR * (len(left) + len(right) - both) - 1e-9
-
-
-def near_table(rows: DataFrame) -> DataFrame:
-    """doc_id, row, a hash of the text's words as node, and its MinHash keys. ``rows``: doc_id, text, row."""
-    kind = rows.select("doc_id").schema[0].dataType.simpleString()
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            words = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-            return {
-                "doc_id": batch.column("doc_id"),
-                "row": batch.column("row"),
-                "node": [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words],
-                "keys": [near_keys(shingles(t, NEAR_SHINGLE)) for t in texts],
-            }
-
-        return work
-
-    return map_arrow(rows, f"doc_id {kind}, row bigint, node bigint, keys array<bigint>", make)
-
-
-def near_verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b of nodes whose texts are near copies; only the texts of these nodes are fetched."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    places = nodes.join(small(wanted), "node").select("node", F.col("row").alias("_row"))
-    texts = rows.join(small(places), F.col("row") == F.col("_row")).groupBy("node").agg(F.min("text").alias("text"))
-    texts = stored(texts, "near-texts")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_right"))
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            both = zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist(), strict=True)
-            kept = batch.filter(pa.array([near_copies(x, y) for x, y in both], pa.bool_()))
-            return {"a": kept.column("a"), "b": kept.column("b")}
-
-        return work
-
-    spread = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
-    return stored(map_arrow(spread, "a bigint, b bigint", make), "near-links")
-
-
-def near_links(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """Links a, b with the components of all candidate pairs that are near copies. ``made``: ``near_table`` of ``rows``."""
-    nodes = stored(made.groupBy("node").agg(F.min("row").alias("row")), "near-nodes")
-    keyed = made.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("_most"))
-    shared = stored(shared.where("least <> _most").drop("_most"), "near-keys")
-    members = stored(keyed.join(small(shared), "key").distinct(), "near-members")
-    star = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    star = stored(star, "near-star")
-    first = near_verified(rows, nodes, star)
-    rooted = members.join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "near-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
-    rest = rooted.join(small(mixed), "key")
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("_root"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("_root")))
-    pairs = pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(near_verified(rows, nodes, stored(pairs, "near-pairs")))
+    named = small(stored(named, "simhash-names"), 24)  # one row a fingerprint: a common one's documents can be split
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that of its least doc_id, with all its columns."""
     row = F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", "text", row.alias("row"))
-    made = stored(near_table(rows), "near-table")
-    roots = components(near_links(rows, made))
-    found = made.select("doc_id", "row", "node").join(roots, "node", "left")
-    found = stored(found.withColumn("_group", F.coalesce("root", F.xxhash64("node", F.lit(1)))), "near-groups")
+    made = stored(fingerprints(docs.select("doc_id", "text", row.alias("row")), "doc_id", "row"), "near-prints")
+    roots = components(links(stored(made.select("fp").distinct(), "near-nodes"))).withColumnRenamed("node", "fp")
+    found = made.join(small(stored(roots, "near-roots")), "fp", "left")
+    found = stored(found.withColumn("_group", F.coalesce("root", F.xxhash64("fp", F.lit(1)))), "near-groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id"), F.col("row")))
     stays = stored(found.groupBy("_group").agg(first.alias("_first")).select("_first.row"), "near-stays")
     goes = found.select(F.col("row").alias("_gone")).distinct().join(stays, F.col("_gone") == F.col("row"), "left_anti")

@@ -369,4 +369,5 @@ def op8_suffix(spark, folder: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),  # a cut may leave part of a character
     )
