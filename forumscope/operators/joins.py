@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 BROADCAST_BYTES = 64 << 20
 
 
+ROW_BYTES = 48  # what a row of a broadcast hash table takes beside its values
+
+
+def _width(value: Column, kind: DataType) -> Column | int:
+    """Bytes that a value takes in memory: an expression, or a number where all values take the same."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), 16)
+    if isinstance(kind, (ArrayType, MapType)):
+        items, inner = (value, kind.elementType) if isinstance(kind, ArrayType) else (F.map_entries(value), _entry(kind))
+        each = _width(F.lit(None).cast(inner), inner)
+        if isinstance(each, int):
+            return F.coalesce(F.size(items), F.lit(0)) * each + 32
+        total = F.aggregate(items, F.lit(32).cast("bigint"), lambda n, x: n + _width(x, inner))
+        return F.coalesce(total, F.lit(32).cast("bigint"))
+    return 8
+
+
+def _entry(kind: MapType) -> StructType:
+    return StructType().add("key", kind.keyType).add("value", kind.valueType)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the whole table is small enough to send to every executor, by measuring it."""
-    width = F.lit(0)
-    for field in df.schema.fields:
-        size = F.octet_length(F.col(field.name)) + 8 if field.dataType.typeName() == "string" else F.lit(8)
-        width = width + F.coalesce(size, F.lit(8))
-    measured = df.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"]
+    """Whether the whole table is small enough to send to every executor, by measuring what it takes in memory."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), ROW_BYTES)
+    measured = df.agg(F.sum((F.lit(0) + width).cast("bigint")).alias("bytes")).first()["bytes"]
     return (measured or 0) <= limit
 
 

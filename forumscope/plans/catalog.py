@@ -25,6 +25,7 @@ TEXT_YEARS = tuple(range(2012, 2022))
 KEYWORD = "Rod"
 EDIT_DISTANCE = 2
 SEED = 1
+KMEANS_STEPS = 30
 
 # Outlier caps of the user tables.
 CAPS = {
@@ -311,8 +312,7 @@ def histogram_queries() -> dict[str, Query]:
 
 
 def tag_clusters(c: Community) -> DataFrame:
-    shared_folder(c.spark)
-    return clusters.tag_clusters(frequency(c))
+    return clusters.tag_clusters(frequency(c), max_iterations=KMEANS_STEPS)
 
 
 def cluster_word_freq_export(c: Community) -> DataFrame:
@@ -463,6 +463,7 @@ JOBS: dict[str, Query] = {
     # tag clusters
     "tag_tfidf": lambda c: clusters.tag_tfidf(frequency(c)),
     "tag_kmeans": tag_clusters,
+    "kmeans_misplaced": lambda c: clusters.misplaced_tags(tag_clusters(c)),
     "kmeans_sizes": lambda c: clusters.cluster_sizes(tag_clusters(c)),
     "cluster_word_freq": lambda c: clusters.cluster_words(tag_clusters(c)),
     "cluster_word_freq_export": cluster_word_freq_export,

@@ -263,6 +263,38 @@ VIEWS = {
 }
 
 
+KMEANS_STEPS = 30
+
+
+def _lloyd_views() -> dict[str, str]:
+    """Every step of K-means: the centres of the members so far, and each tag's nearest centre among all of them."""
+    arrival = "-ln((('0x' || substr(md5('0|' || Tag), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / tag_frequency"
+    views = {
+        "vectors": """SELECT Tag, tag_frequency, term, coalesce(w / sqrt(sum(w * w) OVER (PARTITION BY Tag)), 0) AS weight
+        FROM frequency LEFT JOIN weights USING (Tag)""",
+        "members0": f"""SELECT Tag, CAST(row_number() OVER (ORDER BY {arrival}, Tag) - 1 AS INT) AS cluster
+        FROM frequency ORDER BY {arrival}, Tag LIMIT 20""",
+    }
+    for i in range(1, KMEANS_STEPS + 2):
+        before = f"members{i - 1}"
+        views[f"centres{i}"] = f"""SELECT cluster, term, sum(tag_frequency * weight) / any_value(size) AS centre
+        FROM {before} JOIN vectors USING (Tag) JOIN (SELECT cluster, sum(tag_frequency) AS size FROM {before}
+          JOIN frequency USING (Tag) GROUP BY cluster) USING (cluster) GROUP BY cluster, term"""
+        views[f"members{i}"] = f"""SELECT Tag, cluster FROM (
+          SELECT Tag, cluster, row_number() OVER (PARTITION BY Tag ORDER BY round(norm - 2 * coalesce(dot, 0), 9), cluster) AS place
+          FROM frequency CROSS JOIN (SELECT cluster, sum(centre * centre) AS norm FROM centres{i} GROUP BY cluster)
+          LEFT JOIN (SELECT v.Tag, cluster, sum(weight * centre) AS dot FROM vectors v JOIN centres{i} USING (term)
+            GROUP BY v.Tag, cluster) USING (Tag, cluster)) WHERE place = 1"""
+    views["clustered"] = f"SELECT Tag, tag_frequency, cluster FROM frequency JOIN members{KMEANS_STEPS} USING (Tag)"
+    return views
+
+
+VIEWS |= _lloyd_views()
+
+CLUSTER_SIZES = "SELECT cluster, CAST(sum(tag_frequency) AS BIGINT) AS n_rows, count(*) AS n_tags FROM clustered GROUP BY cluster"
+CLUSTER_WORDS = "SELECT cluster, Tag, tag_frequency AS n FROM clustered"
+
+
 def _chosen(share: float) -> str:
     """Whether a row is in the sample: the start of a hash of its id, as a part of one, is below the share."""
     return f"('0x' || substr(md5('1|' || _Id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {share}::DOUBLE"
@@ -545,6 +577,13 @@ QUERIES = {
     + ", ".join(f"avg({f}) AS {f}_m, stddev_samp({f}) AS {f}_d" for f in FEATURES)
     + " FROM features) m",
     "tag_tfidf": f"SELECT Tag, term, {_six('w / sqrt(sum(w * w) OVER (PARTITION BY Tag))')} AS weight FROM weights",
+    "tag_kmeans": "SELECT Tag, tag_frequency, cluster FROM clustered",
+    "kmeans_misplaced": f"""SELECT count(*) AS n_tags, count(*) FILTER (WHERE n.cluster <> c.cluster) AS n_misplaced
+        FROM clustered c JOIN members{KMEANS_STEPS + 1} n USING (Tag)""",
+    "kmeans_sizes": CLUSTER_SIZES,
+    "kmeans_sizes_export": CLUSTER_SIZES,
+    "cluster_word_freq": CLUSTER_WORDS,
+    "cluster_word_freq_export": CLUSTER_WORDS,
     "tag_levenshtein": """SELECT a.Tag AS a, b.Tag AS b, CAST(levenshtein(a.Tag, b.Tag) AS INT) AS distance
         FROM frequency a JOIN frequency b ON a.Tag < b.Tag WHERE levenshtein(a.Tag, b.Tag) <= 2""",
 }
