@@ -121,50 +121,44 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
-def tfidf_cosine(left: Column, right: Column) -> Column:
-    """Cosine of two texts under smoothed TF-IDF with the pair as the whole corpus.
+# A mark below every character of a token: a term's marked uses sort right behind its plain ones.
+MARK = "!"
 
-    The tokens of both sides are sorted together and folded once. A term is closed when the next one
-    starts, so the state is one term and three sums whatever the length of the texts.
-    """
 
-    def side(text: Column, mark: int) -> Column:
-        return F.transform(tokens(text), lambda t: F.struct(t.alias("t"), F.lit(mark).alias("m")))
+def tfidf_cosine(short: Column, long: Column) -> Column:
+    """Cosine of two token lists under smoothed TF-IDF with the pair as the whole corpus.
+
+    The tokens of the short side get a mark, the others stay as they are, and all are sorted as plain strings and folded by run
+    length. A term is closed when another one starts, so the state is one term, its two counts and three sums whatever the
+    length of the texts.
+    """
 
     def close(state: Column) -> tuple[Column, Column, Column]:
         l, r = state["l"], state["r"]
-        idf = F.when((l > 0) & (r > 0), F.lit(1.0)).otherwise(F.lit(ONE_SIDED_IDF))
+        square = F.when((l > 0) & (r > 0), F.lit(1.0)).otherwise(F.lit(ONE_SIDED_IDF**2))
         return (
             (state["dot"] + l * r).alias("dot"),
-            (state["ll"] + l * idf * l * idf).alias("ll"),
-            (state["rr"] + r * idf * r * idf).alias("rr"),
+            (state["ll"] + l * l * square).alias("ll"),
+            (state["rr"] + r * r * square).alias("rr"),
         )
 
+    def state_of(state: Column, l: Column, r: Column) -> Column:
+        return F.struct(state["t"].alias("t"), l.alias("l"), r.alias("r"), *[state[n].alias(n) for n in ("dot", "ll", "rr")])
+
     def step(state: Column, item: Column) -> Column:
-        is_left = F.when(item["m"] == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        same = F.struct(
-            state["t"].alias("t"),
-            (state["l"] + is_left).alias("l"),
-            (state["r"] + (1.0 - is_left)).alias("r"),
-            state["dot"].alias("dot"),
-            state["ll"].alias("ll"),
-            state["rr"].alias("rr"),
-        )
-        following = F.struct(
-            item["t"].alias("t"),
-            is_left.alias("l"),
-            (1.0 - is_left).alias("r"),
-            *close(state),
+        marked = F.endswith(item, F.lit(MARK))
+        plain = F.when(marked, F.left(item, F.length(item) - 1)).otherwise(item)
+        counts = (F.when(marked, 1.0).otherwise(0.0).alias("l"), F.when(marked, 0.0).otherwise(1.0).alias("r"))
+        return (
+            F.when(item == state["t"], state_of(state, state["l"], state["r"] + 1.0))
+            .when(item == F.concat(state["t"], F.lit(MARK)), state_of(state, state["l"] + 1.0, state["r"]))
+            .otherwise(F.struct(plain.alias("t"), *counts, *close(state)))
         )
-        return F.when(state["t"] == item["t"], same).otherwise(following)
 
     def finish(state: Column) -> Column:
         dot, ll, rr = close(state)
         return F.coalesce(F.try_divide(dot, F.sqrt(ll) * F.sqrt(rr)), F.lit(0.0))
 
-    empty = F.struct(
-        F.lit("").alias("t"),
-        *[F.lit(0.0).alias(name) for name in ("l", "r", "dot", "ll", "rr")],
-    )
-    together = F.sort_array(F.concat(side(left, 0), side(right, 1)))
-    return F.aggregate(together, empty, step, finish)
+    empty = F.struct(F.lit("").alias("t"), *[F.lit(0.0).alias(name) for name in ("l", "r", "dot", "ll", "rr")])
+    together = F.concat(long, F.transform(short, lambda t: F.concat(t, F.lit(MARK))))
+    return F.aggregate(F.array_sort(together), empty, step, finish)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.ml.feature import StringIndexer
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumscope.operators.text import METRICS
 
@@ -49,42 +49,81 @@ def with_label_index(df: DataFrame, column: str, output: str) -> DataFrame:
     return indexer.fit(df.select(column)).transform(df).withColumn(output, F.col(output).cast("int"))
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """Assembled vector, scaled to mean 0 and sample deviation 1."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    scaler = StandardScaler(inputCol="features", outputCol="scaledFeatures", withMean=True, withStd=True)
-    return PipelineModel([assembler, scaler.fit(assembler.transform(df))])
+@dataclass(frozen=True)
+class Moments:
+    """Means, sample deviations and correlations of columns: a square of numbers, whatever the number of rows."""
+
+    columns: tuple[str, ...]
+    means: np.ndarray
+    deviations: np.ndarray
+    correlations: np.ndarray
+
+    def scaled(self) -> list[Column]:
+        """Each column at mean 0 and deviation 1; a constant one is 0."""
+        return [
+            ((F.col(c) - F.lit(float(m))) / F.lit(float(d)) if d > 0 else F.lit(0.0)).alias(c)
+            for c, m, d in zip(self.columns, self.means, self.deviations)
+        ]
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """All moments in one aggregation, combined in the tasks that read the rows; one row reaches the driver."""
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = [F.avg(c) for c in columns] + [F.covar_samp(columns[i], columns[j]) for i, j in pairs]
+    row = [x if x is not None and x == x else 0.0 for x in df.agg(*sums).first()]
+    covariances = np.zeros((n, n))
+    for (i, j), value in zip(pairs, row[n:]):
+        covariances[i, j] = covariances[j, i] = value
+    deviations = np.sqrt(covariances.diagonal())
+    inverse = np.divide(1.0, deviations, out=np.zeros(n), where=deviations > 0)
+    return Moments(tuple(columns), np.array(row[:n]), deviations, covariances * np.outer(inverse, inverse))
 
 
 def scaled_columns(df: DataFrame, columns: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    scaled = fit_scaler(df, columns).transform(df)
-    return _spread(scaled, "scaledFeatures", columns, carry)
+    return df.select(*carry, *moments(df, columns).scaled())
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], k: int) -> PipelineModel:
-    """Scaling followed by principal components; only ``columns`` squared numbers reach the driver."""
-    scaling = fit_scaler(df, columns)
-    pca = PCA(k=k, inputCol="scaledFeatures", outputCol="pcaFeatures").fit(scaling.transform(df))
-    return PipelineModel([*scaling.stages, pca])
+@dataclass(frozen=True)
+class Components:
+    """Principal components of scaled columns: a row of loadings each, and the variances of all components."""
 
+    moments: Moments
+    loadings: np.ndarray
+    variances: np.ndarray
 
-def component_signs(model: PCAModel) -> list[float]:
-    """Signs that make the largest loading of each component positive."""
-    loadings = model.pc.toArray()
-    return [1.0 if max(column, key=abs) >= 0 else -1.0 for column in loadings.T.tolist()]
+    @property
+    def names(self) -> list[str]:
+        return [f"PC{i + 1}" for i in range(len(self.loadings))]
 
 
-def pca_scores(df: DataFrame, model: PipelineModel, carry: Sequence[str]) -> DataFrame:
-    """Each row's position on the components, as PC1, PC2 and so on."""
-    signs = component_signs(model.stages[-1])
-    names = [f"PC{i + 1}" for i in range(len(signs))]
-    spread = _spread(model.transform(df), "pcaFeatures", names, carry)
-    return spread.select(*carry, *[(F.col(n) * sign).alias(n) for n, sign in zip(names, signs)])
+def principal_components(of: Moments, k: int) -> Components:
+    """The first k components; the largest loading of each is positive."""
+    variances, vectors = np.linalg.eigh(of.correlations)
+    order = np.argsort(variances)[::-1]
+    loadings = vectors.T[order[:k]]
+    largest = loadings[np.arange(len(loadings)), np.abs(loadings).argmax(axis=1)]
+    return Components(of, loadings * np.where(largest < 0, -1.0, 1.0)[:, None], np.maximum(variances[order], 0.0))
 
 
-def pca_variance(spark, model: PCAModel) -> DataFrame:
+def fit_pca(df: DataFrame, columns: Sequence[str], k: int) -> Components:
+    """Components from one pass over the rows."""
+    return principal_components(moments(df, columns), k)
+
+
+def pca_scores(df: DataFrame, model: Components, carry: Sequence[str]) -> DataFrame:
+    """Each row's position on the components, as PC1, PC2 and so on: sums of products in the row itself."""
+    scaled = df.select(*carry, *model.moments.scaled())
+    sums = [
+        sum((F.col(c) * F.lit(float(x)) for c, x in zip(model.moments.columns, row)), F.lit(0.0)).alias(name)
+        for name, row in zip(model.names, model.loadings)
+    ]
+    return scaled.select(*carry, *sums)
+
+
+def pca_variance(spark: SparkSession, model: Components) -> DataFrame:
     """Explained variance of each component: of the total, cumulated, and of the kept components."""
-    ratios = model.explainedVariance.toArray().tolist()
+    ratios = (model.variances / model.variances.sum()).tolist()[: len(model.loadings)]
     kept = sum(ratios)
     rows = [
         (f"PC{i + 1}", ratio, sum(ratios[: i + 1]), ratio / kept) for i, ratio in enumerate(ratios)
@@ -92,26 +131,55 @@ def pca_variance(spark, model: PCAModel) -> DataFrame:
     return spark.createDataFrame(rows, "pc STRING, ratio_total DOUBLE, cum_total DOUBLE, ratio_kept DOUBLE")
 
 
-def pca_loadings(spark, model: PCAModel, columns: Sequence[str]) -> DataFrame:
+def pca_loadings(spark: SparkSession, model: Components) -> DataFrame:
     """Weight of each feature in each component."""
-    matrix, signs = model.pc.toArray().tolist(), component_signs(model)
     rows = [
-        (f"PC{j + 1}", feature, matrix[i][j] * sign)
-        for i, feature in enumerate(columns)
-        for j, sign in enumerate(signs)
+        (pc, feature, float(x))
+        for pc, row in zip(model.names, model.loadings)
+        for feature, x in zip(model.moments.columns, row)
     ]
     return spark.createDataFrame(rows, "pc STRING, feature STRING, loading DOUBLE")
 
 
-def chosen(share: float, seed: int, key: str = "_Id") -> Column:
-    """Whether a row is in a sample: by a hash of its key, so the same rows on any cluster and in any order."""
+def save_components(spark: SparkSession, model: Components, path: str) -> None:
+    """A fitted model as one small table: a row for each feature, with its place, scale, correlations and loadings."""
+    of = model.moments
+    rows = [
+        (i, c, float(of.means[i]), float(of.deviations[i]), of.correlations[i].tolist(), model.loadings[:, i].tolist(), float(model.variances[i]))
+        for i, c in enumerate(of.columns)
+    ]
+    schema = "place INT, feature STRING, mean DOUBLE, deviation DOUBLE, correlations ARRAY<DOUBLE>, loadings ARRAY<DOUBLE>, variance DOUBLE"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+
+
+def load_components(spark: SparkSession, path: str) -> Components:
+    rows = spark.read.parquet(path).orderBy("place").collect()
+    of = Moments(
+        tuple(r["feature"] for r in rows),
+        np.array([r["mean"] for r in rows]),
+        np.array([r["deviation"] for r in rows]),
+        np.array([r["correlations"] for r in rows]),
+    )
+    return Components(of, np.array([r["loadings"] for r in rows]).T, np.array([r["variance"] for r in rows]))
+
+
+def least_hashed(df: DataFrame, rows: int, seed: int, key: str = "_Id") -> DataFrame:
+    """A random sample of exactly so many rows, or all: those of the least hash of their key.
+
+    The rows do not follow partitions or order, and every task passes on its own least ones only.
+    """
+    return df.orderBy(hashed(seed, key), key).limit(rows)
+
+
+def hashed(seed: int, key: str) -> Column:
+    """The start of a hash of a row's key, as a number of 32 bits."""
     start = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
-    return F.conv(start, 16, 10).cast("bigint") / F.lit(float(1 << 32)) < share
+    return F.conv(start, 16, 10).cast("bigint")
 
 
-def sample_about(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """A random sample of about this many rows."""
-    return df.where(chosen(min(1.0, rows / max(df.count(), 1)), seed))
+def chosen(share: float, seed: int, key: str = "_Id") -> Column:
+    """Whether a row is in a sample: by a hash of its key, so the same rows on any cluster and in any order."""
+    return hashed(seed, key) / F.lit(float(1 << 32)) < share
 
 
 def sample_by_year(posts: DataFrame, years: Sequence[int], fraction: float, seed: int) -> DataFrame:
@@ -119,14 +187,9 @@ def sample_by_year(posts: DataFrame, years: Sequence[int], fraction: float, seed
     return posts.where(F.col("Year").isin(*years) & chosen(fraction, seed))
 
 
-def correlation_of_components(spark, model: PCAModel, columns: Sequence[str]) -> DataFrame:
+def correlation_of_components(spark: SparkSession, model: Components) -> DataFrame:
     """Correlations (a, b, r) rebuilt from all loadings and variances of a model on scaled columns."""
-    matrix, ratios = model.pc.toArray(), model.explainedVariance.toArray()
-    rebuilt = (matrix * ratios * len(columns)) @ matrix.T
+    columns = model.moments.columns
+    rebuilt = (model.loadings.T * model.variances) @ model.loadings
     rows = [(a, b, float(rebuilt[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
     return spark.createDataFrame(rows, "a STRING, b STRING, r DOUBLE")
-
-
-def _spread(df: DataFrame, vector: str, names: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    values = df.select(*carry, vector_to_array(vector).alias("values"))
-    return values.select(*carry, *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -45,14 +45,15 @@ def join_lookup(
     spread: Column,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = 64,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with a lookup table that is unique on ``key``.
+    """Inner (or left) join of many rows with a lookup table that is unique on ``key``.
 
     A lookup that fits is broadcast. A larger one is repeated once for each salt, so that a key that
     holds a large part of ``facts`` is spread over ``salts`` tasks; ``spread`` picks the salt.
     """
     if fits_broadcast(lookup, broadcast_bytes):
-        return facts.join(F.broadcast(lookup), key)
+        return facts.join(F.broadcast(lookup), key, how)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_lookup, [key, "_salt"]).drop("_salt")
+    return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")

@@ -82,31 +82,28 @@ def title_cosines(posts: DataFrame, other: str) -> DataFrame:
         "tags": (tag_words(F.coalesce(F.col("_Tags"), F.lit(""))), "cos_sim_title_tag"),
     }
     text, name = sides[other]
-    return posts.select("_Id", t.tfidf_cosine(t.prose(F.col("_Title")), text).alias(name))
+    return posts.select("_Id", t.tfidf_cosine(t.tokens(t.prose(F.col("_Title"))), t.tokens(text)).alias(name))
 
 
 def sentiment(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Compound sentiment of every post, zero where no word has a valence."""
-    scored = sentiment_scores(posts, lexicon, broadcast_bytes)
-    return posts.select("_Id").join(scored, "_Id", "left").na.fill(0.0, subset=["sentiment"])
+    listed = cleaned_text(posts).select("_Id", t.tokens(F.col("text")).alias("terms"))
+    return with_sentiment(listed, ["_Id"], [], lexicon, broadcast_bytes)
 
 
-def sentiment_scores(
-    posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+def with_sentiment(
+    listed: DataFrame, keys: Sequence[str], measures: Sequence[str], lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Compound sentiment in -1..1 of the posts that use a word of the lexicon (term, valence).
+    """``keys`` and ``measures`` of every row with its compound sentiment in -1..1. ``listed``: these and ``terms``, the words in order.
 
-    Up to three words before a valenced word can strengthen, weaken or negate it. Words travel with
-    their three predecessors, so the order of a text needs no window, and the sum over a text is
-    combined in the task that read it.
+    Up to three words before a valenced word can strengthen, weaken or negate it. One generator gives a row's words, each with its three predecessors,
+    and a marker, which alone has the measures and joins with nothing; one grouping, combined in the task that read the row, closes both. So texts are read once,
+    and a row without a valenced word is not lost. ``keys`` have to tell rows apart.
     """
-    listed = cleaned_text(posts).select("_Id", t.tokens(F.col("text")).alias("term"))
-    before = [F.concat(F.array_repeat(F.lit(""), d), "term").alias(f"back{d}") for d in (1, 2, 3)]
-    placed = (
-        listed.select("_Id", "term", *before)
-        .select("_Id", F.inline(F.arrays_zip("term", "back1", "back2", "back3")))
-        .where(F.col("term").isNotNull())
-    )
+    before = [F.concat(F.array_repeat(F.lit(""), d), "terms").alias(f"back{d}") for d in (1, 2, 3)]
+    zipped = F.inline(F.arrays_zip(F.col("terms").alias("term"), "back1", "back2", "back3"))
+    placed = listed.select(*keys, *measures, "terms", *before).select(*keys, *measures, zipped)
+    marker = F.col("back2").isNull()  # the last of the three places behind the words
     push, negated = F.lit(0.0), F.lit(False)
     for distance, fade in zip((1, 2, 3), FADE):
         word = F.col(f"back{distance}")
@@ -117,40 +114,54 @@ def sentiment_scores(
             .otherwise(0.0)
         )
         negated = negated | word.isin(*NEGATIONS)
-    flagged = placed.select("_Id", "term", push.alias("push"), negated.alias("negated"))
-    valenced = join_lookup(flagged, lexicon.select("term", "valence"), "term", F.col("_Id"), broadcast_bytes)
+    flagged = placed.where(F.col("term").isNotNull() | marker).select(
+        *keys,
+        *[F.when(marker, F.col(m)).alias(m) for m in measures],
+        F.when(marker, F.concat_ws("|", F.lit("\u0001"), *keys)).otherwise(F.col("term")).alias("term"),
+        marker.alias("marker"),
+        F.when(marker, 0.0).otherwise(push).alias("push"),
+        F.when(marker, False).otherwise(negated).alias("negated"),
+    )
+    looked = join_lookup(flagged, lexicon.select("term", "valence"), "term", F.col(keys[0]), broadcast_bytes, how="left")
+    found = looked.where(F.col("marker") | F.col("valence").isNotNull())
     moved = F.col("valence") + F.signum("valence") * F.col("push")
-    sums = valenced.groupBy("_Id").agg(
-        F.sum(moved * F.when(F.col("negated"), NEGATED).otherwise(1.0)).alias("s")
+    sums = found.groupBy(*keys).agg(
+        *[F.max(m).alias(m) for m in measures],
+        F.sum(moved * F.when(F.col("negated"), NEGATED).otherwise(1.0)).alias("s"),
     )
-    return sums.select("_Id", (F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORMALISER)).alias("sentiment"))
+    compound = F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORMALISER)
+    return sums.select(*keys, *measures, F.coalesce(compound, F.lit(0.0)).alias("sentiment"))
 
 
 def question_metrics(posts: DataFrame, lexicon: DataFrame | None, carry: Sequence[str] = ()) -> DataFrame:
     """The seven text metrics of each question, zero for texts of ten words or fewer; six without a lexicon.
 
-    Bodies never leave the scan: everything but sentiment is a column of the scanned row, and the
-    sentiment join moves ids and numbers only.
+    Bodies are read and cleaned once and never leave the scan: the words of a text and one row of its measures come out of
+    it together, and only ids and numbers are shuffled.
     """
     body = F.col("_Body")
     texts = posts.select(
         "_Id",
         *carry,
-        t.plain_spaces(t.prose(body)).alias("text"),
-        t.prose(F.col("_Title")).alias("title"),
-        tag_words(F.coalesce(F.col("_Tags"), F.lit(""))).alias("tags"),
+        t.prose(body).alias("clean"),
+        t.tokens(t.prose(F.col("_Title"))).alias("title"),
+        t.tokens(tag_words(F.coalesce(F.col("_Tags"), F.lit("")))).alias("tags"),
         t.code_characters(body).alias("code"),
     )
+    texts = texts.select(
+        "_Id", *carry, "title", "tags", "code", t.plain_spaces(F.col("clean")).alias("text"), t.tokens(F.col("clean")).alias("terms")
+    )
     text = F.col("text")
     counted = texts.select(
         "_Id",
         *carry,
         "code",
+        "terms",
         t.words(text).alias("w"),
         F.length(text).alias("c"),
         t.sentences(text).alias("s"),
         t.syllables(text).alias("y"),
-        t.tfidf_cosine(F.col("title"), text).alias("with_post"),
+        t.tfidf_cosine(F.col("title"), F.col("terms")).alias("with_post"),
         t.tfidf_cosine(F.col("tags"), F.col("title")).alias("with_tags"),
     )
     w, c, s, y = (F.col(x) for x in "wcsy")
@@ -165,17 +176,14 @@ def question_metrics(posts: DataFrame, lexicon: DataFrame | None, carry: Sequenc
     measured = counted.select(
         "_Id",
         *carry,
+        "terms",
         (w > GATE_WORDS).alias("long_enough"),
         *[_gated(w > GATE_WORDS, v).alias(name) for name, v in zip(METRICS, values)],
     )
     if lexicon is None:
-        return measured.drop("long_enough")
-    return measured.join(sentiment_scores(posts, lexicon), "_Id", "left").select(
-        "_Id",
-        *carry,
-        *METRICS[:-1],
-        _gated(F.col("long_enough"), F.coalesce("sentiment", F.lit(0.0))).alias("sentiment"),
-    )
+        return measured.drop("terms", "long_enough")
+    found = with_sentiment(measured, ["_Id", *carry], ["long_enough", *METRICS[:-1]], lexicon)
+    return found.withColumn("sentiment", _gated(F.col("long_enough"), F.col("sentiment"))).drop("long_enough")
 
 
 def _gated(passes: Column, value: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumscope.functions.tags import tag_words
@@ -134,9 +135,15 @@ def tag_names(c: Community) -> DataFrame:
     return frequency(c).select("Tag")
 
 
-def fitted_pca(c: Community):
-    table = stored_features(c)
-    return table, features.fit_pca(table, features.FEATURES, len(features.FEATURES))
+def fitted_pca(table: DataFrame) -> features.Components:
+    return features.fit_pca(table, features.FEATURES, len(features.FEATURES))
+
+
+FEATURES9 = (*features.FEATURES, "_Score", "target_cat")
+
+
+def feature_table9(c: Community) -> DataFrame:
+    return features.with_label_index(stored_features(c), "target", "target_cat")
 
 
 # ---- sources and sinks
@@ -347,24 +354,27 @@ def tag_affinity_euclid(c: Community) -> DataFrame:
     return affinity.affinity_clusters(names, edges, affinity.profile_halves(names, pairs, EDIT_DISTANCE))
 
 
-def pca_model_roundtrip(c: Community) -> DataFrame:
-    """Loadings of a model, scaler included, that was saved and loaded again."""
-    _, model = fitted_pca(c)
+def saved_pca(c: Community, table: DataFrame) -> features.Components:
+    """A model, scales included, that was saved and loaded again."""
     path = new_folder(c.spark, "pca")
-    model.write().overwrite().save(path)
-    return features.pca_loadings(c.spark, features.PipelineModel.load(path).stages[-1], features.FEATURES)
+    features.save_components(c.spark, fitted_pca(table), path)
+    return features.load_components(c.spark, path)
 
 
-def pca_scores(c: Community) -> DataFrame:
-    table, model = fitted_pca(c)
+def pca_scores(c: Community, saved: bool = False) -> DataFrame:
+    table = stored_features(c)
+    model = saved_pca(c, table) if saved else fitted_pca(table)
     return features.pca_scores(table, model, ["_Id", "target"])
 
 
-def pca3_variance(c: Community) -> DataFrame:
-    table = features.with_label_index(stored_features(c), "target", "target_cat")
-    columns = [*features.FEATURES, "_Score", "target_cat"]
-    model = features.fit_pca(table, columns, 3)
-    return features.pca_variance(c.spark, model.stages[-1])
+def score_moments(c: Community) -> DataFrame:
+    """Mean and variance of every component's scores, and its largest correlation with another one."""
+    table = pca_scores(c)
+    names = [f"PC{i + 1}" for i in range(len(features.FEATURES))]
+    of = features.moments(table, names)
+    others = abs(of.correlations - np.diag(of.correlations.diagonal())).max(axis=1)
+    rows = list(zip(names, of.means.tolist(), (of.deviations**2).tolist(), others.tolist()))
+    return c.spark.createDataFrame(rows, "pc STRING, mean DOUBLE, variance DOUBLE, most_shared DOUBLE")
 
 
 def stratified_sample(c: Community) -> DataFrame:
@@ -446,19 +456,18 @@ JOBS: dict[str, Query] = {
     # features
     "question_features": feature_table,
     "corr_features": lambda c: stats.correlation(feature_table(c), features.FEATURES),
-    "corr_features9": lambda c: stats.correlation(
-        features.with_label_index(stored_features(c), "target", "target_cat"), [*features.FEATURES, "_Score", "target_cat"]
-    ),
-    "pca_correlation": lambda c: features.correlation_of_components(
-        c.spark, fitted_pca(c)[1].stages[-1], features.FEATURES
-    ),
+    "corr_features9": lambda c: stats.correlation(feature_table9(c), FEATURES9),
+    "pca_correlation": lambda c: features.correlation_of_components(c.spark, fitted_pca(feature_table(c))),
     "features_scaled": lambda c: features.scaled_columns(stored_features(c), features.FEATURES, ["_Id"]),
     "pca_scores": pca_scores,
-    "pca_scores_sample": lambda c: features.sample_about(pca_scores(c), 1000, SEED),
-    "pca_variance": lambda c: features.pca_variance(c.spark, fitted_pca(c)[1].stages[-1]),
-    "pca_loadings": lambda c: features.pca_loadings(c.spark, fitted_pca(c)[1].stages[-1], features.FEATURES),
-    "pca3_variance": pca3_variance,
-    "pca_model_roundtrip": pca_model_roundtrip,
+    "pca_scores_sample": lambda c: features.least_hashed(pca_scores(c), 1000, SEED),
+    "pca_saved_scores": lambda c: pca_scores(c, saved=True),
+    "pca_score_moments": score_moments,
+    "pca_variance": lambda c: features.pca_variance(c.spark, fitted_pca(feature_table(c))),
+    "pca_loadings": lambda c: features.pca_loadings(c.spark, fitted_pca(feature_table(c))),
+    "pca3_variance": lambda c: features.pca_variance(c.spark, features.fit_pca(feature_table9(c), FEATURES9, 3)),
+    "pca3_loadings": lambda c: features.pca_loadings(c.spark, features.fit_pca(feature_table9(c), FEATURES9, 3)),
+    "pca_model_roundtrip": lambda c: features.pca_loadings(c.spark, saved_pca(c, feature_table(c))),
     "stratified_sample": stratified_sample,
     # tag clusters
     "tag_tfidf": lambda c: clusters.tag_tfidf(frequency(c)),

@@ -20,14 +20,6 @@ def test_equals_sql(spark, duck, name):
     assert differences(run(name, spark, SMALL), duck, SQL[name]) is None
 
 
-def test_components(spark):
-    variance = run("pca_variance", spark, SMALL).orderBy("pc").collect()
-    assert len(variance) == 7 and variance[-1]["cum_total"] == pytest.approx(1.0, abs=1e-5)
-    saved = {tuple(r) for r in run("pca_model_roundtrip", spark, SMALL).collect()}
-    assert saved == {tuple(r) for r in run("pca_loadings", spark, SMALL).collect()}
-    assert run("pca3_variance", spark, SMALL).agg({"ratio_kept": "sum"}).first()[0] == pytest.approx(1.0, abs=1e-5)
-
-
 def test_tag_clusters(spark, duck):
     tags = {r[0]: r[1] for r in duck.execute(SQL["tag_rel_frequency"]).fetchall()}
     clustered = run("tag_kmeans", spark, SMALL).collect()

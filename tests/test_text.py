@@ -95,7 +95,7 @@ def test_cosine_equals_plain_tfidf(spark):
         tuple(" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in "ab") for _ in range(300)
     ]
     df = spark.createDataFrame(pairs, "a STRING, b STRING")
-    for row in df.select("a", "b", t.tfidf_cosine(F.col("a"), F.col("b")).alias("c")).collect():
+    for row in df.select("a", "b", t.tfidf_cosine(t.tokens(F.col("a")), t.tokens(F.col("b"))).alias("c")).collect():
         assert row["c"] == pytest.approx(plain_cosine(row["a"], row["b"]), abs=1e-12)
 
 
