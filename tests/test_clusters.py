@@ -1,11 +1,15 @@
 """Similar tags, affinity propagation and K-means against brute force."""
 
+import collections
+import hashlib
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 
-from forumscope.operators import affinity, clusters
+from forumscope.operators import affinity, clusters, joins
 
 
 def edit_distance(a, b):
@@ -139,3 +143,49 @@ def test_weighted_clusters(spark):
     assert groups["red-rod"] == groups["red-ring"] != groups["blue-bolt"] == groups["blue-gear"]
     sizes = [tuple(r)[1:] for r in clusters.cluster_sizes(got).collect()]
     assert sizes == [(90, 2), (50, 2)]
+
+
+def plain_kmeans(frequency, k, steps):
+    """Lloyd's steps on dense TF-IDF vectors, from the same draw of seeds."""
+    names = sorted(frequency)
+    words = {n: collections.Counter(re.findall(r"[\w]{2,}", n.lower())) for n in names}
+    terms = sorted({w for c in words.values() for w in c})
+    total = sum(frequency.values())
+    df = {w: sum(f for n, f in frequency.items() if w in words[n]) for w in terms}
+    x = np.array([[words[n][w] * (math.log((1 + total) / (1 + df[w])) + 1) for w in terms] for n in names])
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    weight = np.array([frequency[n] for n in names], float)
+    draw = lambda n: -math.log((int(hashlib.md5(f"0|{n}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32) / frequency[n]
+    seeds = sorted(names, key=draw)[:k]
+    members = {i: [names.index(s)] for i, s in enumerate(seeds)}
+    label = None
+    for _ in range(steps):
+        centres = {c: np.average(x[m], axis=0, weights=weight[m]) for c, m in members.items() if m}
+        fresh = [min(centres, key=lambda c: (round(float(centres[c] @ centres[c] - 2 * row @ centres[c]), 9), c)) for row in x]
+        if fresh == label:
+            break
+        label = fresh
+        members = {c: [i for i, own in enumerate(label) if own == c] for c in centres}
+    return dict(zip(names, label))
+
+
+def test_kmeans_equals_dense_steps(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["red", "blue", "rod", "ring", "plate", "bolt", "anvil", "wire"]
+    frequency = {"-".join(rng.sample(words, rng.randint(1, 3))): rng.randint(1, 60) for _ in range(70)} | {"c": 9, "r": 4, "c#": 30}
+    frequency |= {f"red-{i:02d}": 3 for i in range(30)}  # a term in many tags
+    table = spark.createDataFrame(list(frequency.items()), "Tag STRING, tag_frequency BIGINT")
+    expected = plain_kmeans(frequency, 6, 40)
+    for limit in (None, 0):  # centres broadcast, and not
+        if limit == 0:
+            monkeypatch.setattr(clusters, "join_lookup", lambda *a: joins.join_lookup(*a, broadcast_bytes=0))
+        made = clusters.tag_clusters(table, k=6, max_iterations=40)
+        assert {r["Tag"]: r["cluster"] for r in made.collect()} == expected
+    assert clusters.misplaced_tags(made).first()["n_misplaced"] == 0
+    assert clusters.tag_clusters(table.where("false"), k=6).count() == 0
+
+
+def test_few_tags_have_a_cluster_each(spark):
+    table = spark.createDataFrame([("red", 5), ("blue", 2)], "Tag STRING, tag_frequency BIGINT")
+    assert {r["cluster"] for r in clusters.tag_clusters(table, k=20).collect()} == {0, 1}

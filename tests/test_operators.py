@@ -147,10 +147,10 @@ def test_principal_components(spark):
     rng = np.random.default_rng(6)
     data = rng.normal(size=(300, 3)) @ np.array([[2, 1, 0], [0, 1, 1], [0, 0, 0.5]])
     df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a DOUBLE, b DOUBLE, c DOUBLE")
-    model = features.fit_pca(df, ["a", "b", "c"], 3).stages[-1]
+    model = features.fit_pca(df, ["a", "b", "c"], 3)
     values, vectors = np.linalg.eigh(np.corrcoef(data.T))
     assert model.explainedVariance.toArray() == pytest.approx(values[::-1] / values.sum())
-    loadings = {(r["pc"], r["feature"]): r["loading"] for r in features.pca_loadings(spark, model, "abc").collect()}
+    loadings = {(r["pc"], r["feature"]): r["loading"] for r in features.pca_loadings(spark, model).collect()}
     first = vectors[:, -1] * np.sign(vectors[np.argmax(np.abs(vectors[:, -1])), -1])
     assert [loadings["PC1", f] for f in "abc"] == pytest.approx(first.tolist())
     ratios = [r["cum_total"] for r in features.pca_variance(spark, model).orderBy("pc").collect()]

@@ -1,8 +1,9 @@
 """Shapes of plans, and the XML reader."""
 
+import numpy as np
 import pytest
 
-from forumscope.operators import posts, tags, users
+from forumscope.operators import features, joins, posts, tags, text, users
 from forumscope.plans.catalog import JOBS, run
 from forumscope.plans.oracle import QUERIES, statements
 from forumscope.sources import dumps
@@ -47,6 +48,49 @@ def test_frequency_needs_one_shuffle(stored_posts):
     assert plan.count("Exchange") == 1 and "partial_count" in plan
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_bodies_are_read_once(spark, community, tmp_path, broadcast_bytes, monkeypatch):
+    texts = community.texts()
+    texts.write.parquet(f"{tmp_path}/texts")
+    community.lexicon().write.parquet(f"{tmp_path}/lexicon")
+    texts, lexicon = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("texts", "lexicon"))
+    monkeypatch.setattr(text, "BROADCAST_BYTES", broadcast_bytes)
+    for made in (text.sentiment(texts, lexicon, broadcast_bytes), text.question_metrics(texts, lexicon, ["_Score"])):
+        plan = plan_of(made)
+        assert sum("FileScan" in line and "/texts" in line for line in plan.splitlines()) == 1
+        assert "SortMergeJoin" not in plan or broadcast_bytes == 0
+
+
+def test_components_need_one_aggregation(spark):
+    rows = spark.range(1000).selectExpr("id AS _Id", "id * 1.0D AS a", "sin(id) AS b", "3.0D AS c")
+    model = features.fit_pca(rows, ["a", "b", "c"], 2)
+    data = np.array([[r["a"], r["b"]] for r in rows.collect()])
+    r = np.corrcoef(data.T)[0, 1]
+    assert model.variances.tolist() == pytest.approx([1 + abs(r), 1 - abs(r), 0.0])
+    assert model.loadings[:, 2].tolist() == [0.0, 0.0]  # a constant column
+    plan = plan_of(features.pca_scores(rows, model, ["_Id"]))
+    assert "Exchange" not in plan and "Python" not in plan
+    scores = np.array([[r["PC1"], r["PC2"]] for r in features.pca_scores(rows, model, ["_Id"]).collect()])
+    assert np.cov(scores.T).diagonal().tolist() == pytest.approx(model.variances[:2].tolist())
+
+
+def test_sample_is_exact_and_free_of_layout(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "_Id")
+    first = features.least_hashed(rows, 1000, 1)
+    assert "TakeOrderedAndProject" in plan_of(first)
+    ids = [r["_Id"] for r in first.collect()]
+    assert len(ids) == 1000 and ids == [r["_Id"] for r in features.least_hashed(rows.repartition(13), 1000, 1).collect()]
+    assert features.least_hashed(rows.limit(7), 1000, 1).count() == 7 and features.least_hashed(rows.limit(0), 5, 1).count() == 0
+
+
+def test_broadcasts_are_measured_in_memory(spark):
+    rows = spark.range(1000).selectExpr("id", "repeat('x', 100) AS s", "array_repeat(struct(id, 1.0D AS w), 50) AS a", "array('yy', 'z') AS t")
+    assert joins.fits_broadcast(rows.select("id"), 60_000) and not joins.fits_broadcast(rows.select("id"), 50_000)
+    assert not joins.fits_broadcast(rows.select("s"), 150_000)
+    assert not joins.fits_broadcast(rows.select("id", "a"), 1_500_000) and joins.fits_broadcast(rows.select("id", "a"), 2_500_000)
+    assert joins.fits_broadcast(rows.select("t"), 200_000) and not joins.fits_broadcast(rows.select("t"), 100_000)
+
+
 def test_xml_lines_are_split(spark, tmp_path):
     path = tmp_path / "Tags.xml"
     lines = [f'  <row Id="{i}" TagName="c&lt;{i}&gt; &amp;&#xA;x" Count="{i % 7}" />' for i in range(20_000)]
