@@ -115,15 +115,14 @@ def test_links_of_all_fingerprints(spark):
 
 
 def line_tiers(line):
-    """For each tier of a line: its blocks by number, and its check."""
-    _, counts, keys, checks = linededup.line_keys([line])
-    each = keys.reshape(counts[0], linededup.BLOCKS)
-    return [(set(enumerate(row.tolist())), int(check)) for row, check in zip(each, checks)]
+    """The fingerprint of each tier of a line."""
+    return linededup.line_prints([line])[2].tolist()
 
 
 def candidates(one, other):
-    """Whether two lines' tiers share a block, and differ in few bits of the check."""
-    return any(x & y and (c ^ d).bit_count() <= linededup.CHECK_BITS for x, c in one for y, d in other)
+    """Whether two lines' tiers share three blocks, and differ in few bits."""
+    near = [x ^ y for x in one for y in other if (x ^ y).bit_count() <= linededup.NEAR_BITS]
+    return any(not d & m for d in near for m in linededup.block_masks())
 
 
 def repeats_of(texts, only_candidates=True):
