@@ -26,6 +26,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,51 +65,51 @@ PIECE = re.compile(
 SPECIAL = "<|"
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit numbers.
 
-    A bounded memory keeps the ids of each word (what lies between blanks and line ends), so that a word is looked up before anything is matched. Unknown
-    words are cut into pieces (a run of letters, a digit, a run of marks), or stay whole where they hold other characters, and the tokenizer sees each
-    new piece once.
+    A text is cut into pieces (a run of letters, a digit, a run of marks), or between blanks where it holds other
+    characters, and a bounded memory keeps the ids of each, so that the tokenizer sees a piece once. A Python worker keeps
+    its function from task to task, with the memory.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
-    words_known: dict[str, bytes] = {}
     ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)  # ids that end a piece
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def simple(word: str) -> bool:
-        return SIMPLE.fullmatch(word) is not None and SPECIAL not in word
+    def simple(text: str) -> bool:
+        return SIMPLE.fullmatch(text) is not None and SPECIAL not in text
 
-    def learn(pieces: list[str], rest: list[str]) -> None:
+    def parts_of(text: str) -> list[str]:
+        if simple(text):
+            return PIECE.findall(text.lower())
+        words = text.replace("\n", " ").split(" ")
+        return [p for w in words for p in (PIECE.findall(w.lower()) if simple(w) else (w,))]
+
+    def learn(new: set[str], rest: list[str]) -> None:
+        pieces = list(new.difference(rest))
         for at in range(0, len(pieces), 1_000):  # each is one run for the tokenizer: encode many, cut at the ends
             some = pieces[at : at + 1_000]
             ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             flat, cuts = ids.tobytes(), ((np.nonzero(ends[ids])[0] + 1) * 4).tolist()
             known.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
         made = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        words_known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, made, strict=True))
-
-    def learn_words(new: list[str]) -> None:
-        plain = {word: PIECE.findall(word.lower()) for word in new if simple(word)}
-        pieces = set().union(*plain.values())
-        if len(known) + len(pieces) > CACHE:
-            known.clear()
-        learn([p for p in pieces if p not in known], [word for word in new if word not in plain])
-        words_known.update((word, b"".join(map(known.__getitem__, parts))) for word, parts in plain.items())
+        known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, made, strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [parts_of(t) for t in texts]
+        plain = all(map(simple, texts))
         used = set().union(*split)
-        new = used.difference(words_known)
-        if len(words_known) + len(new) > CACHE:
-            words_known.clear()
+        new = used.difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
             new = used
-        learn_words(list(new))
-        return [b"".join(map(words_known.__getitem__, words)) for words in split]
+        learn(new, [] if plain else [p for p in new if not simple(p)])
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     return encode
 

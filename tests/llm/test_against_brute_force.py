@@ -115,14 +115,18 @@ def test_links_of_all_fingerprints(spark):
 
 
 def line_tiers(line):
-    """The fingerprint of each tier of a line."""
-    return linededup.line_prints([line])[2].tolist()
+    """The fingerprints of each tier of a line."""
+    _, _, tiers, found = linededup.line_prints([line])
+    return dict(zip(tiers.tolist(), found.tolist()))
 
 
 def candidates(one, other):
-    """Whether two lines' tiers share three blocks, and differ in few bits."""
-    near = [x ^ y for x in one for y in other if (x ^ y).bit_count() <= linededup.NEAR_BITS]
-    return any(not d & m for d in near for m in linededup.block_masks())
+    """Whether two lines share three blocks of a fingerprint in one of their tiers, and differ in few bits of all."""
+    for tier in one.keys() & other.keys():
+        apart = [x ^ y for x, y in zip(one[tier], other[tier])]
+        if sum(d.bit_count() for d in apart) <= linededup.NEAR_BITS and any(not d & m for d in apart for m in linededup.block_masks()):
+            return True
+    return False
 
 
 def repeats_of(texts, only_candidates=True):
@@ -174,8 +178,12 @@ def test_crowds_of_like_and_unlike_lines(spark):
         for j in range(i):
             if candidates(tiers[i], tiers[j]) and linededup.similar(texts[i], texts[j]):
                 groups.link(i, j)
-    for r in linededup.line_links(known, nodes, block=8).collect():
-        made.link(place[r["a"]], place[r["b"]])
+    together = collections.defaultdict(list)
+    for r in linededup.line_roots(known, nodes, block=8).collect():
+        together[r["root"]].append(place[r["node"]])
+    for ids in together.values():
+        for other in ids:
+            made.link(ids[0], other)
     assert [made.find(i) for i in texts] == [groups.find(i) for i in texts]
 
 
@@ -466,15 +474,15 @@ def test_pipeline(spark, texts):
 
 
 def test_lines_by_edit_similarity_alone(docs, texts):
-    """All pairs by edit distance, without a filter: nothing is joined that is not similar, and 0.9 of the links are found (MinHash keys found 0.95)."""
+    """All pairs by edit distance, without a filter: nothing is joined that is not similar. Of what is, SimHash finds 0.8 here (README), mostly longer lines."""
     gone, repeated = repeats_of(texts, only_candidates=False)
     rows = {r["row"]: r["doc_id"] for r in linededup.with_row(docs).collect()}
     made = {(rows[r["row"]], n) for r in linededup.repeats(docs).collect() for n in r["gone"]}
     assert made <= gone
-    assert len(gone - repeated) >= 40 and len(made - repeated) >= 0.9 * len(gone - repeated)
+    assert len(gone - repeated) >= 40 and len(made - repeated) >= 0.75 * len(gone - repeated)
 
 
-@pytest.mark.parametrize("words, least", [((21, 40), 0.6), ((41, 80), 0.9), ((81, 200), 0.95)])
+@pytest.mark.parametrize("words, least", [((21, 40), 0.9), ((41, 80), 0.9), ((81, 200), 0.9)])
 def test_lines_with_a_small_edit_are_candidates(texts, words, least):
     rng = random.Random(3)
     lines = sorted({line for text in texts.values() for line in linededup.normalised(text) if line})
