@@ -84,8 +84,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def simple(text: str) -> bool:
         return SIMPLE.fullmatch(text) is not None and SPECIAL not in text
 
-    def parts_of(text: str) -> list[str]:
-        if simple(text):
+    def parts_of(text: str, plain: bool) -> list[str]:
+        if plain:
             return PIECE.findall(text.lower())
         words = text.replace("\n", " ").split(" ")
         return [p for w in words for p in (PIECE.findall(w.lower()) if simple(w) else (w,))]
@@ -101,14 +101,14 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, made, strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [parts_of(t) for t in texts]
-        plain = all(map(simple, texts))
+        plain = [simple(t) for t in texts]
+        split = [parts_of(t, p) for t, p in zip(texts, plain, strict=True)]
         used = set().union(*split)
         new = used.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
             new = used
-        learn(new, [] if plain else [p for p in new if not simple(p)])
+        learn(new, [] if all(plain) else [p for p in new if not simple(p)])
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     return encode
