@@ -452,6 +452,60 @@ def test_split_tree_is_exact():
     assert totals.max() - totals.min() <= 1
 
 
+@pytest.mark.parametrize("shards", [1, 5, 64, 300])
+def test_split_tree_as_jobs(spark, shards):
+    quotas = {"hot": 4000, "b": 370, "c": 1, "none": 0}
+    rows = mixing.split_tree(spark.createDataFrame(list(quotas.items()), "_key string, _quota bigint"), shards).collect()
+    assert all(r["_quota"] > 0 and 0 <= r["_shard"] < shards for r in rows)
+    given, totals = collections.Counter(), collections.Counter({s: 0 for s in range(shards)})
+    for r in rows:
+        given[r["_key"]] += r["_quota"]
+        totals[r["_shard"]] += r["_quota"]
+    assert given == collections.Counter({k: n for k, n in quotas.items() if n})
+    assert len({(r["_key"], r["_shard"]) for r in rows}) == len(rows)
+    assert max(totals.values()) - min(totals.values()) <= 1
+    if shards == 64:  # one job of six levels draws what the tree in memory draws
+        alone = mixing.split_quotas({k: n for k, n in quotas.items() if n}, shards)
+        assert {(r["_key"], r["_shard"]): r["_quota"] for r in rows} == {
+            (k, s): n for k, ns in alone.items() for s, n in enumerate(ns) if n
+        }
+
+
+@pytest.mark.parametrize("shards", [7, 64])
+def test_blocks_are_dealt_once(spark, docs, shards):
+    rows = mixing._sized(docs, mixing.SEED)
+    sizes = mixing.stored(rows.select("_source", "_key", "_size", "_place"), "test-sizes")
+    ends = mixing._ends(sizes, 3)
+    dealt = mixing.deal_blocks(ends, shards).collect()
+    assert len({(r["_key"], r["_block"]) for r in dealt}) == len(dealt)
+    for r in dealt:
+        assert 0 <= r["_block"] < r["_blocks"]
+        assert [d["pass"] for d in r["_dealt"]] == list(range(len(r["_dealt"])))
+    held = collections.Counter(d["shard"] for r in dealt for d in r["_dealt"])
+    assert len(held) == shards and max(held.values()) - min(held.values()) <= 1
+    # of a source, every shard holds what a draw without replacement gives it: within five deviations of its share
+    total = sum(held.values())
+    for key in {r["_key"] for r in dealt}:
+        mine = collections.Counter(d["shard"] for r in dealt if r["_key"] == key for d in r["_dealt"])
+        share = sum(mine.values()) / total
+        for shard, n in held.items():
+            assert abs(mine[shard] - n * share) <= 5 * (n * share * (1 - share)) ** 0.5 + 1
+
+
+def test_a_shard_is_a_partition(spark, docs):
+    mixed = mixing.mix(docs, shards=40, shard_column="shard").withColumn("part", F.spark_partition_id())
+    rows = mixed.select("doc_id", "shard", "part").collect()
+    assert all(r["shard"] == r["part"] for r in rows) and len({r["shard"] for r in rows}) > 30
+    plan = {r["doc_id"]: r for r in mixing.plan_mix(docs, cut=False, shards=40).collect()}
+    assert collections.Counter((r["doc_id"], r["shard"]) for r in rows) == collections.Counter(
+        (d, t["shard"]) for d, r in plan.items() for t in r["_takes"]
+    )
+    in_order = [r["doc_id"] for r in rows if r["shard"] == rows[0]["shard"]]
+    assert in_order != sorted(in_order)
+    with pytest.raises(ValueError, match="column of the documents"):
+        mixing.mix(docs, shard_column="Source")
+
+
 def test_mix_meets_targets(spark, docs):
     plan = {r["doc_id"]: r for r in mixing.plan_mix(docs).collect()}
     source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
