@@ -500,7 +500,7 @@ QUERIES = {
     "ingest_users": """SELECT *, CAST(_Reputation % 97 AS INT) AS _Views, CAST(_Reputation % 31 AS INT) AS _UpVotes,
         CAST(_Reputation % 13 AS INT) AS _DownVotes, printf('%04d-01-02T03:04:05.678', 2008 + _Id % 10) AS _CreationDate,
         CASE WHEN _Id % 3 <> 0 THEN '2021-02-03T04:05:06.789' END AS _LastAccessDate, concat('<b>', _DisplayName, '</b> & "more"') AS _AboutMe FROM so_users""",
-    "ingest_posts": "SELECT * FROM so_posts",
+    "ingest_posts": "SELECT * FROM so_posts UNION ALL BY NAME SELECT * FROM so_texts",
     "parquet_roundtrip": "SELECT * FROM popularity",
     "parquet_multi_path": "SELECT _Id, _PostTypeId, _CreationDate, _Score FROM so_posts",
     "parquet_overwrite": """SELECT _Id, _PostTypeId, _AcceptedAnswerId, _Score FROM so_questions

@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumscope.schemas import DUMP_TABLES
 
 #: Holds the text of lines that could not be read; never part of a result.
 BROKEN = "_broken"
 
+START = "<row"
+#: What follows the start of an element, to its end: attributes, whose values may hold anything but their quote.
+ELEMENT = r"""\A(?:\s+[^\s=/>]+\s*=\s*(?:"[^"]*"|'[^']*'))*+\s*(?:/>|>\s*</row\s*>)"""
+
 
 def read_xml_dump(spark: SparkSession, path: str, table: str, splittable: bool = True) -> DataFrame:
     """Read ``<row .../>`` elements of one dump table with its declared schema.
 
-    ``splittable`` reads one element per line, as dumps are written, so that a plain or bzip2 file
-    is cut into many tasks; gzip is read too, one task a file. Lines that hold no element are dropped. A line
-    with an element that cannot be read, such as one that goes on in the next line, is an error: files whose
-    elements span lines need ``splittable=False``, one task a file.
+    ``splittable`` cuts a plain or bzip2 file into many tasks, wherever lines end: the text is cut at each start of an element, which
+    attributes cannot hold unescaped, so an element may span lines or share one with others. Gzip is read too, one task a file.
+    What stands between elements is dropped; an element without an end, or with values that do not fit the schema, is an error.
+    ``splittable=False`` parses whole files, one task a file.
     """
-    rows = (
-        spark.read.format("xml")
-        .option("rowTag", "row")
-        .option("multiLine", str(not splittable).lower())
-        .option("columnNameOfCorruptRecord", BROKEN)
-        .schema(f"{DUMP_TABLES[table]}, {BROKEN} STRING")
-        .load(path)
-    )
-    broken = F.col(BROKEN).contains("<row")
-    message = F.concat(F.lit("not a whole element: "), F.substring(BROKEN, 1, 200))
+    if not splittable:
+        rows = (
+            spark.read.format("xml")
+            .option("rowTag", "row")
+            .option("multiLine", "true")
+            .option("columnNameOfCorruptRecord", BROKEN)
+            .schema(f"{DUMP_TABLES[table]}, {BROKEN} STRING")
+            .load(path)
+        )
+        return _whole(rows, F.col(BROKEN), F.col(BROKEN).contains("<row"))
+    pieces = spark.read.option("lineSep", START).text(path).where(F.col("value").rlike(r"\A[\s/>]"))
+    element = F.regexp_extract("value", ELEMENT, 0)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    row = F.from_xml(F.concat(F.lit(START), element), f"{DUMP_TABLES[table]}, {BROKEN} STRING", options)
+    rows = pieces.select(F.col("value").alias("_piece"), row.alias("_row")).select("_piece", "_row.*")
+    unended = ~F.col("_piece").rlike(ELEMENT)
+    return _whole(rows, F.concat(F.lit(START), F.col("_piece")), unended | F.col(BROKEN).isNotNull()).drop("_piece")
+
+
+def _whole(rows: DataFrame, text: Column, broken: Column) -> DataFrame:
+    message = F.concat(F.lit("not a whole element: "), F.substring(text, 1, 200))
     kept = F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.col("_Id").isNotNull())
     return rows.where(kept).drop(BROKEN)
 

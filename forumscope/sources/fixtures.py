@@ -197,4 +197,5 @@ class Community:
         )
 
     def _dump_posts(self) -> DataFrame:
-        return self.posts(with_tags=True)
+        """Questions, answers and the text questions with title and body."""
+        return self.posts(with_tags=True).unionByName(self.texts(), allowMissingColumns=True)

@@ -74,10 +74,43 @@ def test_xml_lines(spark, tmp_path):
     head = '<?xml version="1.0" encoding="utf-8"?>\n<tags>\n'
     good = xml_file(tmp_path / "good", head + WHOLE + "</tags>\n")
     assert sorted(r["_Id"] for r in dumps.read_xml_dump(spark, good, "tags").collect()) == [1, 2]
-    spanning = xml_file(tmp_path / "bad", head + WHOLE + '<row Id="3"\n TagName="c" Count="5" />\n</tags>\n')
+    spanning = xml_file(tmp_path / "spanning", head + WHOLE + '<row Id="3"\n TagName="c" Count="5" />\n</tags>\n')
+    for splittable in (True, False):
+        rows = dumps.read_xml_dump(spark, spanning, "tags", splittable).select("_Id", "_TagName", "_Count").collect()
+        assert sorted(map(tuple, rows)) == [(1, "a", 3), (2, "b", 4), (3, "c", 5)]
+
+
+def test_xml_elements_anywhere(spark, tmp_path):
+    odd = (
+        "<rowset><!-- no lines --><row Id='1' TagName='a \"/> b' Count='3'/><row Id=\"2\" TagName=\"it's\" ></row>"
+        '<row\n\tId="3"\r\n TagName="&lt;row Id=&quot;9&quot; /&gt;" Count = "5"\n/></rowset>'
+    )
+    rows = dumps.read_xml_dump(spark, xml_file(tmp_path / "odd", odd), "tags").select("_Id", "_TagName", "_Count").collect()
+    assert sorted(map(tuple, rows)) == [(1, 'a "/> b', 3), (2, "it's", None), (3, '<row Id="9" />', 5)]
+    assert dumps.read_xml_dump(spark, xml_file(tmp_path / "empty", ""), "tags").count() == 0
+    assert dumps.read_xml_dump(spark, xml_file(tmp_path / "none", "<tags>\n</tags>\n"), "tags").count() == 0
+
+
+@pytest.mark.parametrize("bad", ['<row Id="3" TagName="c"\n</tags>', '<row Id="3" TagName="c', '<row Id="three" />'])
+def test_xml_broken_elements(spark, tmp_path, bad):
+    path = xml_file(tmp_path / "bad", "<tags>\n" + WHOLE + bad)
     with pytest.raises(Exception, match="not a whole element"):
-        dumps.read_xml_dump(spark, spanning, "tags").collect()
-    assert dumps.read_xml_dump(spark, spanning, "tags", splittable=False).count() == 3
+        dumps.read_xml_dump(spark, path, "tags").collect()
+
+
+def test_xml_over_lines_is_split(spark, tmp_path):
+    """Every element spans three lines, in tasks of 30 KB whose borders fall anywhere in them."""
+    body = "".join(f'<row Id="{i}"\n TagName="t{i}&#xA;x"\n Count="{i % 9}" />\n' for i in range(8_000))
+    path = xml_file(tmp_path / "long", "<tags>\n" + body + "</tags>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30001")
+    try:
+        df = dumps.read_xml_dump(spark, path, "tags")
+        assert df.rdd.getNumPartitions() > 8
+        made = df.selectExpr("count(*)", "count(DISTINCT _Id)", "count_if(_TagName = concat('t', _Id, '\\nx'))", "sum(_Count)")
+        assert tuple(made.first()) == (8_000, 8_000, 8_000, sum(i % 9 for i in range(8_000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 @pytest.mark.parametrize("codec", ["gzip", "bzip2"])
