@@ -38,6 +38,24 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (measured or 0) <= limit
 
 
+HOT_SHARE = 0.002
+
+
+def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Every key that holds more than ``share`` of the rows, and perhaps a few others; at most ``1 / share`` in all.
+
+    One pass with a bounded table of counters in each task; no key is shuffled.
+    """
+    found = facts.select(F.col(key).alias("key")).where("key is not null").stat.freqItems(["key"], share).first()
+    return list(found[0] or []) if found else []
+
+
+def repeat_hot(lookup: DataFrame, key: str, hot: list, salts: int) -> DataFrame:
+    """Rows of hot keys once for each salt, the others once, with salt 0."""
+    every, one = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
+    return lookup.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), every).otherwise(one)))
+
+
 def join_lookup(
     facts: DataFrame,
     lookup: DataFrame,
@@ -49,11 +67,13 @@ def join_lookup(
 ) -> DataFrame:
     """Inner (or left) join of many rows with a lookup table that is unique on ``key``.
 
-    A lookup that fits is broadcast. A larger one is repeated once for each salt, so that a key that
-    holds a large part of ``facts`` is spread over ``salts`` tasks; ``spread`` picks the salt.
+    A lookup that fits is broadcast. For a larger one, one more pass over ``facts`` finds its hot keys; only their rows are spread
+    over ``salts`` tasks (``spread`` picks the salt), and only their lookup rows, a few hundred, are repeated. Null keys, which match
+    nothing, are spread as well.
     """
     if fits_broadcast(lookup, broadcast_bytes):
         return facts.join(F.broadcast(lookup), key, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(facts, key)
+    split = F.col(key).isNull() | F.col(key).isin(hot)
+    salt = F.when(split, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    return facts.withColumn("_salt", salt).join(repeat_hot(lookup, key, hot, salts), [key, "_salt"], how).drop("_salt")

@@ -57,11 +57,14 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
 
 
 def even_edges(df: DataFrame, column: str, bins: int, start: float | None = None) -> list[float]:
-    """Edges of equal steps from ``start``, or the minimum, to the maximum of a column."""
+    """Edges of equal steps from ``start``, or the minimum, to the maximum of a column.
+
+    Without values all edges are ``start`` or 0, so that a histogram has its bins, with no rows.
+    """
     value = F.col(column).cast("double")
     lowest, high = df.agg(F.min(value), F.max(value)).first()
     if high is None:
-        raise ValueError(f"{column} has no values")
+        lowest = high = 0.0 if start is None else float(start)
     low = lowest if start is None else float(start)
     return [low, *[low + (high - low) * (i / bins) for i in range(1, bins)], high]
 

@@ -134,7 +134,8 @@ def cumulative_frequency(frequency: DataFrame) -> DataFrame:
     """Running share in order of falling frequency; tags of equal frequency share one value.
 
     The running sum goes over the different frequencies only. N tag rows have fewer than sqrt(2N) of
-    them, so that window stays small however many tags there are.
+    them, so that window stays small however many tags there are, and so does what is broadcast: two numbers for
+    each, 1.4 million rows for 10^12 tag rows. Half of all tags may share the lowest frequency; a shuffle would put them in one task.
     """
     total = frequency.agg(F.sum("tag_frequency")).scalar()
     steps = (
@@ -147,7 +148,7 @@ def cumulative_frequency(frequency: DataFrame) -> DataFrame:
     )
     return (
         relative_frequency(frequency)
-        .join(steps, "tag_frequency")
+        .join(F.broadcast(steps), "tag_frequency")
         .withColumn("cum_frequency", F.col("running") / total)
         .drop("running")
     )

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from forumscope.operators import features, joins, posts, tags, text, users
+from forumscope.operators import features, joins, posts, stats, tags, text, users
 from forumscope.plans.catalog import JOBS, run
 from forumscope.plans.oracle import QUERIES, statements
 from forumscope.sources import dumps
@@ -108,6 +109,45 @@ def test_xml_lines_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_hot_keys_are_split_and_others_are_not_repeated(spark):
+    """One key and the null key hold a third of the rows each; the lookup is too large to broadcast."""
+    key = F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('k', id) END").alias("k")
+    facts = spark.range(90_000).repartition(6).select("id", key)
+    lookup = spark.range(0, 100_000, 3).selectExpr("concat('k', id + 1) AS k", "id AS v").unionByName(
+        spark.createDataFrame([("hot", -1)], "k string, v bigint")
+    )
+    hot = joins.hot_keys(facts, "k")
+    assert "hot" in hot and len(hot) <= 1 / joins.HOT_SHARE
+    repeated = joins.repeat_hot(lookup, "k", ["hot"], 16)
+    assert repeated.count() == lookup.count() + 15
+    wanted = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        for how, rows in (("inner", 60_000), ("left", 90_000)):
+            made = joins.join_lookup(facts, lookup, "k", F.col("id"), broadcast_bytes=0, salts=64, how=how)
+            sizes = made.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in sizes) == rows and max(r["count"] for r in sizes) < rows / 5
+            plain = facts.join(lookup, "k", how).select("id", "k", "v")
+            assert made.select("id", "k", "v").exceptAll(plain).count() == 0
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert joins.join_lookup(facts.limit(0), lookup, "k", F.col("id"), broadcast_bytes=0).count() == 0
+
+
+def test_histogram_of_nothing(spark):
+    none = spark.createDataFrame([], "v double")
+    for start, edge in ((None, 0.0), (-1.0, -1.0)):
+        rows = stats.histogram(none, "v", stats.even_edges(none, "v", 3, start)).orderBy("bin").collect()
+        assert [tuple(r) for r in rows] == [(i, edge, edge, 0) for i in (1, 2, 3)]
+
+
 def test_every_statement_has_a_query():
     assert set(QUERIES) <= set(JOBS)
     assert all(sql for sql in statements().values())
