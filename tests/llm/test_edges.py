@@ -144,3 +144,20 @@ def test_vectors(spark):
     few = neighbours.nearest(rows.where("id < 3"), F.col("id") % 20 == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert neighbours.nearest(rows.where("false"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_mix_of_nothing_and_of_odd_rows(spark):
+    """No rows give no shards; null, empty and repeated rows are dealt like any others, with their other columns."""
+    schema = "doc_id bigint, source string, text string, _block int, _shard string, shard int"
+    none = spark.createDataFrame([], schema)
+    assert mixing.mix(none).count() == 0 and mixing.plan_mix(none).count() == 0
+    rows = [(1, None, "a b c", 7, "x", 1), (None, "s", "d e", 8, "y", 2), (2, "s", None, 9, "z", 3), (3, "s", " \n", 9, "z", 3)]
+    rows += [(4, "s", "same row", 5, "w", 4)] * 5
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mixing.mix(docs, shards=3, shard_column="dealt")
+    assert mixed.columns == [*docs.columns, "dealt"]
+    made = [tuple(r)[:-1] for r in mixed.collect()]
+    assert set(made) <= set(rows) and not {2, 3} & {r[0] for r in made}
+    plan = mixing.plan_mix(docs, cut=False, shards=3).collect()
+    assert sum(len(r["_takes"]) for r in plan) == len(made)
+    assert all(r["taken"] == sum(t["words"] for t in r["_takes"]) <= 3 * r["size"] for r in plan)
