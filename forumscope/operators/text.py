@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from forumscope.functions import text as t
 from forumscope.functions.tags import tag_words
-from forumscope.operators.joins import BROADCAST_BYTES, join_lookup
+from forumscope.operators.joins import BROADCAST_BYTES, ROW_BYTES, fits_broadcast
+from forumscope.session import shared_folder
 
 # Fixed value: a text needs more words than this to be measured.
 GATE_WORDS = 10
@@ -23,6 +24,9 @@ METRICS = (
     "sentiment",
 )
 
+# One text in so many is counted to find the words that are looked up first.
+COUNTED_TEXTS = 16
+
 # Constants of the published lexicon rule for compound sentiment.
 BOOST = 0.293
 NEGATED = -0.74
@@ -99,6 +103,9 @@ def with_sentiment(
     Up to three words before a valenced word can strengthen, weaken or negate it. One generator gives a row's words, each with its three predecessors,
     and a marker, which alone has the measures and joins with nothing; one grouping, combined in the task that read the row, closes both. So texts are read once,
     and a row without a valenced word is not lost. ``keys`` have to tell rows apart.
+
+    A lexicon that does not fit a broadcast is looked up in two steps: the most used words by broadcast (``frequent_words``), and only the others, once for a
+    row and word, by shuffle. No word that is left is in many rows, so no task gets a large part of them.
     """
     before = [F.concat(F.array_repeat(F.lit(""), d), "terms").alias(f"back{d}") for d in (1, 2, 3)]
     zipped = F.inline(F.arrays_zip(F.col("terms").alias("term"), "back1", "back2", "back3"))
@@ -117,22 +124,60 @@ def with_sentiment(
     flagged = placed.where(F.col("term").isNotNull() | marker).select(
         *keys,
         *[F.when(marker, F.col(m)).alias(m) for m in measures],
-        F.when(marker, F.concat_ws("|", F.lit("\u0001"), *keys)).otherwise(F.col("term")).alias("term"),
+        "term",
         marker.alias("marker"),
-        F.when(marker, 0.0).otherwise(push).alias("push"),
-        F.when(marker, False).otherwise(negated).alias("negated"),
-    )
-    looked = join_lookup(flagged, lexicon.select("term", "valence"), "term", F.col(keys[0]), broadcast_bytes, how="left")
-    found = looked.where(F.col("marker") | F.col("valence").isNotNull())
-    moved = F.col("valence") + F.signum("valence") * F.col("push")
-    sums = found.groupBy(*keys).agg(
-        *[F.max(m).alias(m) for m in measures],
-        F.sum(moved * F.when(F.col("negated"), NEGATED).otherwise(1.0)).alias("s"),
+        push.alias("push"),
+        F.when(negated, NEGATED).otherwise(1.0).alias("turn"),
     )
+    lexicon = lexicon.select("term", "valence")
+    closed = [F.max(m).alias(m) for m in measures]
+    moved = (F.col("valence") + F.signum("valence") * F.col("push")) * F.col("turn")
+    if fits_broadcast(lexicon, broadcast_bytes):
+        looked = flagged.join(F.broadcast(lexicon), "term", "left")
+        found = looked.where(F.col("marker") | F.col("valence").isNotNull()).withColumn("moved", moved)
+    else:
+        known = frequent_words(listed, keys[0], lexicon, broadcast_bytes).withColumn("known", F.lit(True))
+        looked = flagged.join(F.broadcast(known), "term", "left")
+        rest = F.when(F.col("known").isNull(), F.col("term"))
+        rare = looked.groupBy(*keys, rest.alias("term")).agg(
+            *closed,
+            F.sum(moved).alias("sure"),
+            F.sum("turn").alias("turn"),
+            F.sum(F.col("push") * F.col("turn")).alias("push"),
+        )
+        # A row without a rare word gets a key of its own, so that these rows do not meet in one partition.
+        own = F.coalesce(F.col("term"), F.concat_ws("|", F.lit("\u0001"), *keys))
+        valued = rare.withColumn("term", own).join(lexicon, "term", "left")
+        later = F.col("valence") * F.col("turn") + F.signum("valence") * F.col("push")
+        found = valued.withColumn("moved", F.coalesce("sure", later))
+    sums = found.groupBy(*keys).agg(*closed, F.sum("moved").alias("s"))
     compound = F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORMALISER)
     return sums.select(*keys, *measures, F.coalesce(compound, F.lit(0.0)).alias("sentiment"))
 
 
+def frequent_words(listed: DataFrame, key: str, lexicon: DataFrame, limit: int) -> DataFrame:
+    """The most used words of the texts, as many as a broadcast of ``limit`` bytes holds, with their valence or null.
+
+    Uses are counted in one text of ``COUNTED_TEXTS``, by a hash of the key. This only says which way a word is looked up, never whether, so no
+    result depends on it. Words go by classes of about equal use; at most some 250 sums reach the driver.
+    """
+    shared_folder(listed.sparkSession)
+    counted = listed.where(F.pmod(F.xxhash64(key), F.lit(COUNTED_TEXTS)) == 0)
+    uses = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    classed = uses.select("term", F.floor(F.log2("n") * 4).cast("int").alias("class"))
+    words = classed.join(lexicon, "term", "left").checkpoint()
+    width = F.octet_length("term") + (16 + 8 + 8 + ROW_BYTES)
+    sizes = words.groupBy("class").agg(F.sum(width.cast("bigint")).alias("bytes")).orderBy(F.desc("class")).collect()
+    taken, lowest = 0, None
+    for row in sizes:
+        taken += row["bytes"]
+        if taken > limit:
+            break
+        lowest = row["class"]
+    least = F.lit(False) if lowest is None else F.col("class") >= lowest
+    return words.where(least).select("term", "valence")
+
+
 def question_metrics(posts: DataFrame, lexicon: DataFrame | None, carry: Sequence[str] = ()) -> DataFrame:
     """The seven text metrics of each question, zero for texts of ten words or fewer; six without a lexicon.
 

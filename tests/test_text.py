@@ -137,3 +137,43 @@ def test_gate_needs_more_than_ten_words(spark):
     got = {r["_Id"]: r for r in text.question_metrics(posts, lexicon).collect()}
     assert all(got[1][m] == 0.0 for m in text.METRICS)
     assert got[2]["sentiment"] > 0.9 and got[2]["cos_sim_title_tag"] > 0
+
+
+def rows_sent(made):
+    """Rows of a made table, and rows that went through its shuffles."""
+    found = made.collect()
+    todo, sent = [made._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                sent += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return found, sent
+
+
+def test_used_words_of_a_large_lexicon_are_not_shuffled(spark):
+    """A lexicon over the limit: words in many texts meet it by broadcast, rare ones by shuffle, once for a text; results are those of a broadcast."""
+    rng = random.Random(7)
+    common = ["good", "bad", "very", "not", *[f"word{i}" for i in range(40)]]
+    rows = []
+    for i in range(400):
+        words = rng.choices(common, k=200) + ["not", f"rare{i}", "so", f"rare{i}", f"lost{i}"]
+        rows.append((i, " ".join(words), "good words", "<a>"))
+    rows += [(400, "", None, None), (401, None, "t", "<a>"), (3, "good " * 12, "t", "<a>")]  # one id comes twice
+    posts = spark.createDataFrame(rows, POSTS).repartition(4)
+    terms = [*LEXICON, *[(f"word{i}", i / 40 - 0.5) for i in range(0, 40, 2)], *[(f"rare{i}", (-1.0) ** i) for i in range(4000)]]
+    lexicon = spark.createDataFrame(terms, "term STRING, valence DOUBLE")
+    whole = {r["_Id"]: r["sentiment"] for r in text.sentiment(posts, lexicon).collect()}
+    for limit, most in ((20_000, 12_000), (0, 200_000)):
+        found, sent = rows_sent(text.sentiment(posts, lexicon, limit))
+        assert len(found) == len(whole) == 402 and sent < most
+        for r in found:
+            assert r["sentiment"] == pytest.approx(whole[r["_Id"]], abs=1e-12)
+    assert whole[400] == whole[401] == 0.0 and whole[5] != whole[6]
