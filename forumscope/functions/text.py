@@ -19,8 +19,8 @@ WORD = r"\S+"
 RARE_SPACES = "".join(
     map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-VOWEL_RUN = r"[aeiouy]+"
-SILENT_END = r"(?<!l)e(?!\S)"
+# A vowel run whose last letter is not a final e, or is one behind an l.
+VOICED_RUN = r"[aeiouy]++(?:(?<!e)|(?<=le)|(?=\S))"
 
 # Coefficients of the published readability formulas, and the no-text marker.
 COLEMAN_LIAU = (0.0588, 0.296, 15.8)
@@ -71,12 +71,9 @@ def syllables(text: Column) -> Column:
     The running total is floored at one after the first word only: no word lowers it.
     """
 
-    def balance(part: Column) -> Column:
-        return count_matches(part, VOWEL_RUN) - count_matches(part, SILENT_END)
-
     first_word = F.regexp_extract(text, WORD, 0)
-    silent_start = (F.length(first_word) > 0) & (balance(first_word) == 0)
-    return balance(text) + F.when(silent_start, 1).otherwise(0)
+    silent_start = (F.length(first_word) > 0) & (count_matches(first_word, VOICED_RUN) == 0)
+    return count_matches(text, VOICED_RUN) + F.when(silent_start, 1).otherwise(0)
 
 
 def coleman_liau(characters: Column, n_sentences: Column, n_words: Column) -> Column:
@@ -149,8 +146,16 @@ def tfidf_cosine(short: Column, long: Column) -> Column:
         marked = F.endswith(item, F.lit(MARK))
         plain = F.when(marked, F.left(item, F.length(item) - 1)).otherwise(item)
         counts = (F.when(marked, 1.0).otherwise(0.0).alias("l"), F.when(marked, 0.0).otherwise(1.0).alias("r"))
+        one_sided = state["rr"] + state["r"] * state["r"] * F.lit(ONE_SIDED_IDF**2)
+        # Nearly all steps are of the first two kinds; the second is the last one without its zeros.
         return (
             F.when(item == state["t"], state_of(state, state["l"], state["r"] + 1.0))
+            .when(
+                ~marked & (state["l"] == 0.0),
+                F.struct(
+                    item.alias("t"), F.lit(0.0).alias("l"), F.lit(1.0).alias("r"), state["dot"].alias("dot"), state["ll"].alias("ll"), one_sided.alias("rr")
+                ),
+            )
             .when(item == F.concat(state["t"], F.lit(MARK)), state_of(state, state["l"] + 1.0, state["r"]))
             .otherwise(F.struct(plain.alias("t"), *counts, *close(state)))
         )
@@ -161,4 +166,4 @@ def tfidf_cosine(short: Column, long: Column) -> Column:
 
     empty = F.struct(F.lit("").alias("t"), *[F.lit(0.0).alias(name) for name in ("l", "r", "dot", "ll", "rr")])
     together = F.concat(long, F.transform(short, lambda t: F.concat(t, F.lit(MARK))))
-    return F.aggregate(F.array_sort(together), empty, step, finish)
+    return F.aggregate(F.sort_array(together), empty, step, finish)

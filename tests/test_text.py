@@ -177,3 +177,19 @@ def test_used_words_of_a_large_lexicon_are_not_shuffled(spark):
         for r in found:
             assert r["sentiment"] == pytest.approx(whole[r["_Id"]], abs=1e-12)
     assert whole[400] == whole[401] == 0.0 and whole[5] != whole[6]
+
+
+def test_measures_sort_without_a_lambda_and_match_once(spark):
+    """Words are sorted by their own order, not by a comparing lambda; syllables take one pass over the text and one over its first word."""
+    texts = spark.createDataFrame([("a table here", "the table")], "x STRING, y STRING")
+    made = texts.select(t.tfidf_cosine(t.tokens(F.col("x")), t.tokens(F.col("y"))).alias("c"), t.syllables(F.col("x")).alias("s"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and plan.count("regexp_extract_all(") <= 2 + 2
+    assert made.first()["s"] == 4
+
+
+def test_syllables_of_ends_in_e(spark):
+    words = ["e", "le", "ee", "lee", "ae", "ale", "eel", "toe", "bee.", "be!", "le le", "e e", "tie", "yle", "ele", "lele ae", "é e"]
+    rows = spark.createDataFrame([(w,) for w in words], "x STRING").select("x", t.syllables(F.col("x")).alias("n"))
+    for r in rows.collect():
+        assert r["n"] == fold_syllables(r["x"]), r["x"]
