@@ -193,3 +193,14 @@ def test_syllables_of_ends_in_e(spark):
     rows = spark.createDataFrame([(w,) for w in words], "x STRING").select("x", t.syllables(F.col("x")).alias("n"))
     for r in rows.collect():
         assert r["n"] == fold_syllables(r["x"]), r["x"]
+
+
+def test_words_looked_up_first_fit_the_limit(spark):
+    """As many of the most used words as fit, also those without a valence; none if none fits."""
+    rows = [(i, ["often", "unlisted", f"once{i}"]) for i in range(4000)]
+    listed = spark.createDataFrame(rows, "_Id BIGINT, terms ARRAY<STRING>").repartition(3)
+    lexicon = spark.createDataFrame([("often", 1.0), *[(f"once{i}", 0.5) for i in range(4000)]], "term STRING, valence DOUBLE")
+    few = {r["term"]: r["valence"] for r in text.frequent_words(listed, "_Id", lexicon, 1000).collect()}
+    assert few == {"often": 1.0, "unlisted": None}
+    every = text.frequent_words(listed, "_Id", lexicon, 1 << 20)
+    assert 100 < every.count() < 600 and text.frequent_words(listed, "_Id", lexicon, 0).count() == 0
