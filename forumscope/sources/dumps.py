@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumscope.schemas import DUMP_TABLES
+from forumscope.session import spent_shuffles_go
 
 #: Holds the text of lines that could not be read; never part of a result.
 BROKEN = "_broken"
@@ -47,9 +48,19 @@ def _whole(rows: DataFrame, text: Column, broken: Column) -> DataFrame:
     return rows.where(kept).drop(BROKEN)
 
 
-def write_xml_dump(df: DataFrame, path: str, root: str) -> None:
-    """Write a table as ``<row .../>`` elements, one to a line."""
-    df.write.format("xml").option("rowTag", "row").option("rootTag", root).save(path)
+#: Rows of a compressed file at most: it is read by one task.
+FILE_ROWS = 1_000_000
+
+
+def write_xml_dump(df: DataFrame, path: str, root: str, compression: str = "gzip") -> None:
+    """Write a table as ``<row .../>`` elements, one to a line, in files of ``FILE_ROWS`` at most.
+
+    Each element repeats all attribute names, so plain files are several times as large as the table; gzip leaves a small part of that.
+    The shuffle files of the table are of no more use then, and go at once.
+    """
+    rows = df.write.format("xml").option("rowTag", "row").option("rootTag", root).option("compression", compression)
+    with spent_shuffles_go(df.sparkSession):
+        rows.option("maxRecordsPerFile", FILE_ROWS).save(path)
 
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False, files: int | None = None) -> None:
